@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barframe.operators.resample import bars_from_trades
-from barframe.schema import DAILY, HOURLY
+from barframe.schema import DAILY, HOURLY, STATEMENT_ITEMS
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,3 +66,129 @@ def mixed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         .unionByName(event_bars(spark, sf_dir, DAILY))
         .unionByName(event_bars(spark, sf_dir, HOURLY))
     )
+
+
+# --- raw, dirty rows --------------------------------------------------------
+
+
+def raw_event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly event bars as text, each sent twice; some copies are spoilt.
+
+    The second copy, later in order, has another close. By the hour of day its number or date is
+    unreadable, infinite, not a number or missing, so that the first copy must win.
+    """
+    bars = event_bars(spark, sf_dir)
+    text = bars.select(
+        "symbol",
+        "interval",
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("date"),
+        *[F.col(c).cast("string").alias(c) for c in ("open", "high", "low", "close")],
+        F.col("volume").cast("bigint").cast("string").alias("volume"),
+        F.lit(1).cast("bigint").alias("ingest_seq"),
+    )
+    hour = F.substring("date", 12, 2)
+    later = text.withColumns(
+        {
+            "date": F.when(hour == "01", "not a date")
+            .when(hour == "02", F.concat("date", F.lit("+08:00")))
+            .otherwise(F.col("date")),
+            "open": F.when(hour == "03", "12,5").otherwise(F.col("open")),
+            "high": F.when(hour == "04", "Infinity").otherwise(F.col("high")),
+            "low": F.when(hour == "05", "NaN").otherwise(F.col("low")),
+            "close": F.when(hour == "06", None).otherwise(F.lit("7.25")),
+            "ingest_seq": F.lit(2).cast("bigint"),
+        }
+    )
+    return text.unionByName(later).withColumnsRenamed(
+        {
+            "date": "时间",
+            "open": "开盘",
+            "high": "最高",
+            "low": "最低",
+            "close": "收盘",
+            "volume": "成交量(手)",
+        }
+    )
+
+
+# --- companies --------------------------------------------------------------
+
+
+def supplier_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as instruments: five kinds of six-digit codes by turn."""
+    s = table(spark, sf_dir, "supplier")
+    prefix = F.element_at(
+        F.array(*[F.lit(p) for p in ("60", "68", "00", "30", "83")]),
+        F.pmod("s_suppkey", F.lit(5)).cast("int") + 1,
+    )
+    turn = F.pmod("s_suppkey", F.lit(4))
+    return s.select(
+        F.col("s_suppkey").cast("string").alias("symbol"),
+        F.concat(
+            F.lit(" "), prefix, F.lpad(F.pmod("s_suppkey", F.lit(10000)).cast("string"), 4, "0")
+        ).alias("ticker"),
+        F.when(turn == 0, F.col("s_name")).alias("long_name"),
+        F.when(turn <= 1, F.concat(F.lit("S"), F.col("s_suppkey").cast("string"))).alias(
+            "short_name"
+        ),
+        F.when(turn <= 2, F.concat(F.lit("L"), F.col("s_suppkey").cast("string"))).alias(
+            "local_name"
+        ),
+        (F.col("s_acctbal") / 100).alias("pe"),
+        F.when(F.col("s_acctbal") > 0, F.col("s_acctbal") / 1000).alias("pb"),
+    )
+
+
+def nation_sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sector per nation, led by its first supplier; some have none."""
+    leaders = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.min("s_suppkey").alias("k"))
+    return (
+        table(spark, sf_dir, "nation")
+        .join(leaders, F.col("n_nationkey") == F.col("s_nationkey"), "left")
+        .select(F.col("n_name").alias("sector"), F.col("k").cast("string").alias("symbol"))
+    )
+
+
+def supplier_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quarterly statements per supplier, (symbol, period_end, item, value).
+
+    Odd suppliers file under the second names of items.
+    """
+    lines = table(spark, sf_dir, "lineitem")
+    end = F.last_day(F.add_months(F.date_trunc("quarter", "l_shipdate").cast("date"), 2))
+    cents = (F.col("l_extendedprice") * 100).cast("bigint")
+    sold = cents * F.round((1 - F.col("l_discount")) * 100).cast("bigint")
+    quarters = lines.groupBy("l_suppkey", end.alias("period_end")).agg(
+        (F.sum(sold) / 10000).alias("revenue"),
+        ((F.sum(sold) - F.sum(cents) * 90) / 10000).alias("net_income"),
+    )
+    balance = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey"),
+        F.col("s_acctbal").alias("equity"),
+        (F.col("s_acctbal") * 0.5).alias("liabilities"),
+        (F.col("s_acctbal") * 2).alias("assets"),
+    )
+    wide = quarters.join(balance, F.col("l_suppkey") == F.col("s_suppkey"))
+    odd = F.pmod("l_suppkey", F.lit(2)) == 1
+    items = F.array(
+        *[
+            F.struct(
+                F.when(odd, names[-1]).otherwise(names[0]).alias("item"), F.col(c).alias("value")
+            )
+            for c, names in STATEMENT_ITEMS.items()
+        ]
+    )
+    return wide.select(
+        F.col("l_suppkey").cast("string").alias("symbol"), "period_end", F.explode(items).alias("i")
+    ).select("symbol", "period_end", "i.item", "i.value")
+
+
+def event_news(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("symbol"),
+        F.col("event_id").alias("id"),
+        F.col("props").alias("title"),
+        F.col("ts").alias("published_at"),
+        F.col("user_id").cast("string").alias("source"),
+        F.concat(F.lit("/item/"), F.col("event_id").cast("string")).alias("url"),
+    )

@@ -126,7 +126,7 @@ def trend_summary(figures: DataFrame, order: str = "chronological") -> DataFrame
         g = F.col(f"_{c}")
         return (
             F.when(F.count(c) < 2, "insufficient")
-            .when(F.coalesce(F.bool_and(g > 0), F.lit(True)), "growing")
+            .when(F.coalesce(F.bool_and(g > 0), F.lit(False)), "growing")
             .when(F.bool_or(g > 0) & F.bool_or(g < 0), "unstable")
             .otherwise("declining")
         )

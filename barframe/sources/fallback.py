@@ -6,52 +6,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barframe.functions.tickers import is_six_digit
-from barframe.schema import BAR, HOURLY
+from barframe.schema import BAR, HOURLY, SERIES
 
 
 def choose_source(
-    preferred: DataFrame, other: DataFrame, requested: DataFrame, allow_home: bool = True
+    preferred: DataFrame, requested: DataFrame, fallback: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Bars of the preferred source where it has any for a (symbol, interval), else the other's.
+    """Bars of the preferred source where it has any for a (symbol, interval), else the fallback's.
 
-    ``requested`` lists the wanted (symbol, interval) pairs. Hourly bars of six-digit codes never
-    come from the second source; ``allow_home=False`` says the first is that source too, and
-    then those pairs are refused. Returns bars and a (symbol, interval, notes) table.
+    ``requested`` lists the wanted (symbol, interval) pairs. The second source has no hourly bars
+    of six-digit codes; without ``fallback`` the preferred one is that source. Returns bars and
+    a (symbol, interval, notes) table.
     """
-    keys = ["symbol", "interval"]
-    wanted = requested.select(*keys).distinct()
-    barred = is_six_digit("symbol") & (F.col("interval") == HOURLY)
-    first, second = preferred.select(*BAR), other.select(*BAR).filter(~barred)
-    if not allow_home:
-        first = first.filter(~barred)
-    first = first.join(wanted, keys, "left_semi")
-    second = second.join(wanted, keys, "left_semi")
-    # one row per pair and source, so neither source's bars meet in a window
-    have = (
-        first.groupBy(*keys)
-        .agg(F.lit(1).alias("priority"))
-        .unionByName(second.groupBy(*keys).agg(F.lit(2).alias("priority")))
-        .groupBy(*keys)
-        .agg(F.min("priority").alias("priority"))
-    )
-    use_second = have.filter("priority = 2").select(*keys)
-    bars = first.unionByName(second.join(use_second, keys, "left_semi"))
-    missing, refused = F.col("priority").isNull(), F.lit(not allow_home) & barred
-    notes = (
-        wanted.join(have, keys, "left")
-        .withColumn(
-            "notes",
-            F.array_compact(
-                F.array(
-                    F.when((missing | (F.col("priority") == 2)) & ~refused, F.lit("fell back")),
-                    F.when((missing & barred) | refused, F.lit("no hourly fallback")),
-                    F.when(missing & ~barred, F.lit("no valid data")),
-                )
-            ),
+    wanted = requested.select(*SERIES).distinct()
+    no_hourly = is_six_digit("symbol") & (F.col("interval") == HOURLY)
+    first = preferred.select(*BAR).join(wanted, SERIES, "left_semi")
+    if fallback is None:
+        bars = first.filter(~no_hourly)
+        have = bars.groupBy(*SERIES).agg(F.lit(1).alias("rank"))
+    else:
+        second = fallback.select(*BAR).filter(~no_hourly).join(wanted, SERIES, "left_semi")
+        # one row per pair and source, so neither source's bars meet in a window
+        have = (
+            first.groupBy(*SERIES)
+            .agg(F.lit(1).alias("rank"))
+            .unionByName(second.groupBy(*SERIES).agg(F.lit(2).alias("rank")))
+            .groupBy(*SERIES)
+            .agg(F.min("rank").alias("rank"))
+        )
+        use_second = have.filter("rank = 2").select(*SERIES)
+        bars = first.unionByName(second.join(use_second, SERIES, "left_semi"))
+    rank, missing = F.col("rank"), F.col("rank").isNull()
+    fell_back = F.lit(fallback is not None) & (missing | (rank == 2))
+    notes = F.array_compact(
+        F.array(
+            F.when(fell_back, "fell back"),
+            F.when(missing & no_hourly, "no hourly bars"),
+            F.when(missing & ~no_hourly, "no valid data"),
         )
-        .select(*keys, F.array_distinct("notes").alias("notes"))
     )
-    return bars, notes
+    return bars, wanted.join(have, SERIES, "left").select(*SERIES, notes.alias("notes"))
 
 
 def instrument_info(symbols: DataFrame, instruments: DataFrame) -> DataFrame:
