@@ -33,13 +33,16 @@ PERIOD = "1y"
 
 
 def shown(df: DataFrame, *columns: str) -> DataFrame:
-    """Columns as the oracle gives them: doubles to 4 places, times and arrays as text."""
+    """Columns as the oracle gives them: doubles to 4 places, times and arrays as text.
+
+    Halves are rounded up by the same steps as in the oracle, so equal doubles give equal results.
+    """
     df = df.select(*columns) if columns else df
     result = []
     for name, kind in df.dtypes:
         c = F.col(name)
         if kind == "double":
-            c = F.round(c, 4)
+            c = F.floor(c * 10000 + 0.5) / 10000.0
         elif kind == "int":
             c = c.cast("bigint")
         elif kind.startswith("timestamp"):

@@ -156,7 +156,7 @@ def supplier_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     lines = table(spark, sf_dir, "lineitem")
     end = F.last_day(F.add_months(F.date_trunc("quarter", "l_shipdate").cast("date"), 2))
-    cents = (F.col("l_extendedprice") * 100).cast("bigint")
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
     sold = cents * F.round((1 - F.col("l_discount")) * 100).cast("bigint")
     quarters = lines.groupBy("l_suppkey", end.alias("period_end")).agg(
         (F.sum(sold) / 10000).alias("revenue"),

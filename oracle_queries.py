@@ -6,7 +6,7 @@ means, window pivots in place of arrays.
 
 from __future__ import annotations
 
-R = "round({0}, 4) AS {0}"
+R = "round({0}, 4) AS {0}"  # replaced by half-up steps at the end
 BAR_OUT = (
     "symbol, interval, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, round(open, 4) AS open,"
     " round(high, 4) AS high, round(low, 4) AS low, round(close, 4) AS close,"
@@ -184,13 +184,13 @@ def full(*columns: str, stateful: bool = False, bars=(F1, "f1")) -> str:
 
 SCORE = """CAST(CASE WHEN n_bars < 10 THEN 0
   WHEN n_bars < 20 THEN 15 + CASE WHEN close > prev_close THEN 10 ELSE 0 END
-  ELSE CASE WHEN close > ma20 THEN 20 ELSE 0 END + CASE WHEN ma20 > ma60 THEN 15 ELSE 0 END
+  ELSE least(100, CASE WHEN close > ma20 THEN 20 ELSE 0 END + CASE WHEN ma20 > ma60 THEN 15 ELSE 0 END
      + CASE WHEN ma5 > ma10 AND ma10 > ma20 THEN 15 ELSE 0 END
      + CASE WHEN vol_ratio > 1.2 THEN 10 WHEN vol_ratio < 0.8 THEN 4 ELSE 0 END
      + CASE WHEN macd > macd_signal THEN 15 ELSE 0 END
      + CASE WHEN rsi BETWEEN 45 AND 70 THEN 15 WHEN rsi < 35 THEN 8 ELSE 0 END
      + CASE WHEN cmf > 0 THEN 10 ELSE 0 END + CASE WHEN close > prev_close THEN 10 ELSE 0 END
-     + CASE WHEN adx >= 25 THEN 5 ELSE 0 END END AS BIGINT)"""
+     + CASE WHEN adx >= 25 THEN 5 ELSE 0 END) END AS BIGINT)"""
 
 
 def fired(*rules: tuple[str, str]) -> str:
@@ -649,9 +649,9 @@ ORACLES = {
                     *MIXED,
                     THIN.format("mixed"),
                     weekly("(FROM mixed WHERE interval = '1d' AND symbol IN (FROM thin))", "w"),
-                    "both AS (FROM mixed UNION ALL FROM w)",
+                    "daily_weekly AS (FROM mixed UNION ALL FROM w)",
                 ],
-                "both",
+                "daily_weekly",
                 KEEP,
             ),
             COMPOSITE_WEIGHTS,
@@ -767,3 +767,23 @@ FROM panel p LEFT JOIN full_record f USING (symbol, interval) WHERE p.pos > p.n_
         " FROM panel WHERE pos = n_bars ORDER BY 5 DESC, symbol LIMIT 10",
     ),
 }
+
+
+def _half_up(sql: str) -> str:
+    """``round(x, 4)`` spelled out as the Spark side does it."""
+    while (at := sql.find("round(")) >= 0 and sql.find(", 4)", at) >= 0:
+        depth, i = 0, at + 5
+        while True:
+            depth += {"(": 1, ")": -1}.get(sql[i], 0)
+            if depth == 0:
+                break
+            i += 1
+        inner = sql[at + 6 : i]
+        if not inner.endswith(", 4"):
+            sql = sql[:at] + "ROUND" + sql[at + 5 :]
+            continue
+        sql = f"{sql[:at]}floor(CAST(({inner[:-3]}) AS DOUBLE) * 10000 + 0.5) / 10000{sql[i + 1 :]}"
+    return sql
+
+
+ORACLES = {name: _half_up(sql) for name, sql in ORACLES.items()}
