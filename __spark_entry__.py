@@ -37,22 +37,15 @@ def shown(df: DataFrame, *columns: str) -> DataFrame:
 
     Halves are rounded up by the same steps as in the oracle, so equal doubles give equal results.
     """
-    df = df.select(*columns) if columns else df
-    result = []
-    for name, kind in df.dtypes:
-        c = F.col(name)
-        if kind == "double":
-            c = F.floor(c * 10000 + 0.5) / 10000.0
-        elif kind == "int":
-            c = c.cast("bigint")
-        elif kind.startswith("timestamp"):
-            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-        elif kind == "date":
-            c = F.date_format(c, "yyyy-MM-dd")
-        elif kind == "array<string>":
-            c = F.array_join(c, "|")
-        result.append(c.alias(name))
-    return df.select(*result)
+    forms = {
+        "double": "floor({0} * 10000D + 0.5D) / 10000D as {0}",
+        "int": "cast({0} as bigint) as {0}",
+        "timestamp_ntz": "date_format({0}, 'yyyy-MM-dd HH:mm:ss') as {0}",
+        "date": "date_format({0}, 'yyyy-MM-dd') as {0}",
+        "array<string>": "array_join({0}, '|') as {0}",
+    }
+    kinds = dict(df.dtypes)
+    return df.selectExpr(*[forms.get(kinds[c], "{0}").format(c) for c in columns or df.columns])
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -280,8 +273,7 @@ def _output(make) -> Query:
 
 
 def q_chart_feed(spark, d):
-    history = _history(spark, d)
-    return shown(out.chart_feed(history, "3mo", analyze(history)).drop("interval"))
+    return shown(out.chart_feed(_history(spark, d), "3mo").drop("interval"))
 
 
 def q_hourly_chart_feed(spark, d):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barframe.operators.resample import bars_from_trades
@@ -13,6 +13,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _joined_key(*parts: tuple[str, int]) -> Column:
+    """Whole numbers of at most the given digits as one number in their order.
+
+    A decimal, unlike a struct, can be compared within a hash aggregation. Neighbours that fit a
+    bigint together are joined as such first.
+    """
+    groups: list[tuple[str, int]] = []
+    for sql, digits in parts:
+        sql = f"cast({sql} as bigint)"
+        if groups and groups[-1][1] + digits <= 18:
+            before, width = groups[-1]
+            groups[-1] = (f"({before} * {10**digits}L + {sql})", width + digits)
+        else:
+            groups.append((sql, digits))
+    key = f"cast({groups[0][0]} as decimal(38,0))"
+    for sql, digits in groups[1:]:
+        key = f"cast({key} * cast('1{'0' * digits}' as decimal({digits + 1},0)) + {sql} as decimal(38,0))"
+    return F.expr(key)
+
+
 def supplier_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars per supplier: unit price and quantity of each shipped line."""
     return bars_from_trades(
@@ -22,11 +42,13 @@ def supplier_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_extendedprice") / F.col("l_quantity"),
         F.col("l_quantity"),
         [
-            F.col("l_orderkey"),
-            F.col("l_linenumber"),
-            F.col("l_partkey"),
-            F.col("l_extendedprice"),
-            F.col("l_quantity"),
+            _joined_key(
+                ("l_orderkey", 12),
+                ("l_linenumber", 1),
+                ("l_partkey", 11),
+                ("round(l_extendedprice * 100)", 10),
+                ("l_quantity", 3),
+            )
         ],
     )
 
@@ -54,7 +76,7 @@ def event_bars(spark: SparkSession, sf_dir: str, interval: str = HOURLY) -> Data
         F.col("ts"),
         F.col("value"),
         F.lit(1.0),
-        [F.col("ts"), F.col("event_id")],
+        [_joined_key(("unix_micros(cast(ts as timestamp))", 17), ("event_id", 18))],
         interval,
     )
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barframe.functions.tickers import market_colors
+from barframe.operators.latest import LOOKBACK
+from barframe.operators.pivots import add_levels, last_items
 from barframe.operators.signals import fired
 from barframe.schema import DEFAULT_PERIOD_BARS, PERIOD_BARS, PRICES, SERIES
 
@@ -72,35 +74,47 @@ def readings(analysis: DataFrame) -> DataFrame:
     )
 
 
-def chart_feed(history: DataFrame, period: str, analysis: DataFrame | None = None) -> DataFrame:
-    """Last bars of each series as drawn: flags, colours, indicators and levels."""
-    n = PERIOD_BARS.get(period, DEFAULT_PERIOD_BARS)
-    df = _last(history, n, ["ma5", "ma20", "ma60", "vol_ma20", "macd", "macd_signal", "macd_hist", "rsi"])
-    df = df.withColumn(
-        "hist_color", F.when(F.col("macd_hist") >= 0, F.col("colors.up")).otherwise(F.col("colors.down"))
-    ).drop("colors")
-    if analysis is None:
-        return df
-    return df.join(analysis.select(*SERIES, "support", "resistance"), SERIES, "left")
+CHART_COLUMNS = ["ma5", "ma20", "ma60", "vol_ma20", "macd", "macd_signal", "macd_hist", "rsi"]
 
 
-def hourly_chart_feed(history: DataFrame) -> DataFrame:
-    return _last(history, HOURLY_CHART_BARS, ["ma5", "ma20"]).drop("colors")
+def _drawn(bars: DataFrame) -> DataFrame:
+    """Rise flag and the market's colour for it."""
+    up = F.col("close") >= F.col("open")
+    colors = market_colors("symbol")
+    return bars.withColumns(
+        {"is_up": up, "bar_color": F.when(up, colors["up"]).otherwise(colors["down"])}
+    )
+
 
+def chart_feed(history: DataFrame, period: str) -> DataFrame:
+    """Last bars of each series as drawn: flags, colours, indicators, support and resistance.
 
-def _last(history: DataFrame, n: int, columns: list[str]) -> DataFrame:
-    df = history.filter(F.col("pos") > F.col("n_bars") - n).select(
-        *SERIES, "ts", *PRICES, *columns, market_colors("symbol").alias("colors")
+    The levels come from the same bars, so the bars of a period (at most 1260) are gathered per
+    series, given their levels and spread out again; the history is computed once.
+    """
+    n = PERIOD_BARS.get(period, DEFAULT_PERIOD_BARS)
+    columns = ["pos", "ts", *PRICES, *CHART_COLUMNS]
+    gathered = ", ".join(f"{c!r}, {c}" for c in columns)
+    rows = (
+        history.filter(F.col("pos") > F.col("n_bars") - max(n, LOOKBACK))
+        .groupBy(*SERIES)
+        .agg(F.expr(f"sort_array(collect_list(named_struct({gathered})))").alias("bars"))
     )
-    up = F.col("close") >= F.col("open")
-    return df.withColumns(
-        {
-            "is_up": up,
-            "bar_color": F.when(up, F.col("colors.up")).otherwise(F.col("colors.down")),
-        }
+    rows = add_levels(rows.withColumn("tail", F.expr(last_items("bars", LOOKBACK))))
+    shown = rows.selectExpr(
+        *SERIES, "support", "resistance", f"explode({last_items('bars', n)}) as bar"
+    ).select(*SERIES, "support", "resistance", *[f"bar.{c}" for c in columns if c != "pos"])
+    colors = market_colors("symbol")
+    return _drawn(shown).withColumn(
+        "hist_color", F.when(F.col("macd_hist") >= 0, colors["up"]).otherwise(colors["down"])
     )
 
 
+def hourly_chart_feed(history: DataFrame) -> DataFrame:
+    recent = history.filter(F.col("pos") > F.col("n_bars") - HOURLY_CHART_BARS)
+    return _drawn(recent.select(*SERIES, "ts", *PRICES, "ma5", "ma20"))
+
+
 def report_context(
     analysis: DataFrame,
     composite: DataFrame | None = None,

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from barframe.schema import BAR, DAILY, HOURLY, SERIES, WEEKLY
 
 WEEKLY_NOTE = "weekly bars resampled from daily"
-GRID = {DAILY: "day", HOURLY: "hour"}
-
-
 def bars_from_trades(
     trades: DataFrame,
     symbol: Column,
@@ -23,18 +20,23 @@ def bars_from_trades(
     """Open, high, low, close and volume per symbol and day or hour.
 
     ``order`` must order the trades of one bar fully. All aggregates combine on the map side, so
-    a symbol with most of the trades costs no more than one row per map task and bar.
+    a symbol with most of the trades costs no more than one row per map task and bar. A single
+    numeric ``order`` keeps the aggregation in a hash table; several are compared as a struct,
+    for which Spark sorts.
     """
-    key = order[0] if len(order) == 1 else F.struct(*order)
+    grid = {"_day": ts.cast("date")} | ({"_hour": F.hour(ts)} if interval == HOURLY else {})
     ticks = trades.select(
-        symbol.cast("string").alias("symbol"),
-        F.date_trunc(GRID[interval], ts).cast("timestamp_ntz").alias("ts"),
+        symbol.alias("symbol"),
+        *[c.alias(n) for n, c in grid.items()],
         price.cast("double").alias("price"),
         volume.cast("double").alias("volume"),
-        key.alias("key"),
+        (order[0] if len(order) == 1 else F.struct(*order)).alias("key"),
     )
+    start = F.col("_day").cast("timestamp_ntz")
+    if interval == HOURLY:
+        start = start + F.make_dt_interval(F.lit(0), F.col("_hour"))
     return (
-        ticks.groupBy("symbol", "ts")
+        ticks.groupBy("symbol", *grid)
         .agg(
             F.min_by("price", "key").alias("open"),
             F.max("price").alias("high"),
@@ -42,7 +44,13 @@ def bars_from_trades(
             F.max_by("price", "key").alias("close"),
             F.sum("volume").alias("volume"),
         )
-        .withColumn("interval", F.lit(interval))
+        .withColumns(
+            {
+                "symbol": F.col("symbol").cast("string"),
+                "interval": F.lit(interval),
+                "ts": start,
+            }
+        )
         .select(*BAR)
     )
 
