@@ -259,7 +259,9 @@ S = "PARTITION BY symbol, interval"
 
 def _level(c: str, pick: str, name: str) -> str:
     return f"""{name} AS (
-  SELECT symbol, interval, coalesce(avg({c}) FILTER (is_pivot AND nth <= 3), {pick}({c}) FILTER (back < 20)) AS {name}
+  SELECT symbol, interval, coalesce((coalesce(max({c}) FILTER (is_pivot AND nth = 3), 0)
+           + coalesce(max({c}) FILTER (is_pivot AND nth = 2), 0) + max({c}) FILTER (is_pivot AND nth = 1))
+           / least(count(*) FILTER (is_pivot), 3), {pick}({c}) FILTER (back < 20)) AS {name}
   FROM (SELECT *, row_number() OVER ({S}, is_pivot ORDER BY ts DESC) AS nth
         FROM (SELECT *, n_bars - pos AS back,
                      {c} = {pick}({c}) OVER ({O} ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)
