@@ -22,7 +22,7 @@ from barframe.operators.scoring import add_score
 from barframe.operators.series import tail_bars
 from barframe.plans.insight import top_scores
 from barframe.schema import BAR, DAILY, HOURLY, TRADE_MODES, VIEWS, bars_kept
-from barframe.sources.fallback import choose_source, instrument_info
+from barframe.sources.fallback import choose_source, instrument_info, merge_notes
 from barframe.sources.readers import scan_window
 from oracle_queries import ORACLES
 
@@ -91,6 +91,13 @@ def q_source_notes(spark, d):
     return shown(_two_sources(spark, d)[1])
 
 
+def q_notes(spark, d):
+    """Notes of both intervals, and of the weekly bars made from the daily ones."""
+    bars, notes = _two_sources(spark, d)
+    _, weekly = with_weekly_fallback(bars)
+    return shown(merge_notes(notes, weekly))
+
+
 def q_instrument_info(spark, d):
     codes = fx.supplier_codes(spark, d)
     return shown(instrument_info(codes.select("symbol"), codes))
@@ -297,6 +304,7 @@ def queries() -> dict[str, Query]:
         "ticker_normalize": q_ticker_normalize,
         "source_fallback": q_source_fallback,
         "source_notes": q_source_notes,
+        "merged_notes": q_notes,
         "instrument_info": q_instrument_info,
         "daily_bars": q_daily_bars,
         "nation_bars": q_nation_bars,

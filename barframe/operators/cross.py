@@ -79,10 +79,11 @@ def composite(by_interval: DataFrame, view: str) -> DataFrame:
 def sector_heatmap(bars: DataFrame, sectors: DataFrame, period: str = "1mo") -> DataFrame:
     """Score and trend of each sector's leading symbol, best first.
 
-    ``sectors`` (sector, symbol) has one row per sector, some dozens: small enough to broadcast.
-    Only the leaders' bars are read on; a sector without 20 bars of its leader gets score 0.
+    ``sectors`` (sector, symbol) has one row per sector. Only the leaders' bars are read on; whether
+    the leaders are broadcast is left to Spark, which knows their size. A sector without 20 bars
+    of its leader gets score 0.
     """
-    leaders = F.broadcast(sectors.select("symbol").filter("symbol is not null").distinct())
+    leaders = sectors.select("symbol").filter("symbol is not null").distinct()
     daily = bars.filter(F.col("interval") == DAILY).join(leaders, "symbol", "left_semi")
     history = latest_history(daily, bars_kept(period)[DAILY])
     aligned = "close > ma20 and ma5 > ma10 and ma10 > ma20"

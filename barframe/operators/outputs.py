@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from barframe.functions.tickers import market_colors
 from barframe.operators.latest import LOOKBACK
 from barframe.operators.pivots import add_levels, last_items
+from barframe.operators.series import top_per_key
 from barframe.operators.signals import fired
 from barframe.schema import DEFAULT_PERIOD_BARS, PERIOD_BARS, PRICES, SERIES
 
@@ -123,9 +124,15 @@ def report_context(
 ) -> DataFrame:
     """One JSON text per symbol and mode with all that a written report draws on.
 
-    Fundamentals (at most four periods) and news (at most five items) per symbol are gathered
-    into arrays; both are cut by their own operators first.
+    The newest four periods of ``fundamentals`` (symbol, period, ...) and the first five items of
+    ``news`` (symbol, rank, ...) are gathered into arrays per symbol, cut before they are gathered.
     """
+    if fundamentals is not None:
+        fundamentals = top_per_key(
+            fundamentals, ["symbol"], [F.desc("period")], 4, ["period"], "_rank"
+        ).drop("_rank")
+    if news is not None:
+        news = news.filter("rank <= 5")
     df = analysis.select(*SERIES, "mode", F.struct(*[c for c in analysis.columns]).alias("analysis"))
     parts = ["analysis"]
     if composite is not None:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barframe.schema import BAR, DAILY, HOURLY, SERIES, WEEKLY
+from barframe.schema import BAR, DAILY, HOURLY, WEEKLY
 
 WEEKLY_NOTE = "weekly bars resampled from daily"
 def bars_from_trades(
@@ -93,10 +93,14 @@ def with_weekly_fallback(
         .filter((F.col("n_weekly") < min_weekly) & (F.col("n_daily") >= min_daily))
         .select("symbol")
     )
+    # only weekly rows are joined; daily bars are combined into weeks where they lie
+    weekly = bars.filter(F.col("interval") == WEEKLY)
     kept = bars.filter(F.col("interval") != WEEKLY).unionByName(
-        bars.filter(F.col("interval") == WEEKLY).join(thin, "symbol", "left_anti")
+        weekly.join(thin, "symbol", "left_anti")
+    )
+    resampled = weekly_from_daily(bars.filter(F.col("interval") == DAILY)).join(
+        thin, "symbol", "left_semi"
     )
-    resampled = weekly_from_daily(bars.filter(F.col("interval") == DAILY).join(thin, "symbol"))
     return kept.unionByName(resampled), thin.withColumn("note", F.lit(WEEKLY_NOTE))
 
 

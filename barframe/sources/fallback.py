@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barframe.functions.tickers import is_six_digit
-from barframe.schema import BAR, HOURLY, SERIES
+from barframe.schema import BAR, DAILY, HOURLY, SERIES, WEEKLY
 
 
 def choose_source(
@@ -48,6 +48,22 @@ def choose_source(
     return bars, wanted.join(have, SERIES, "left").select(*SERIES, notes.alias("notes"))
 
 
+def merge_notes(by_interval: DataFrame, weekly: DataFrame) -> DataFrame:
+    """One ordered list of distinct notes per symbol: daily, weekly, its resampling, hourly.
+
+    ``by_interval`` comes from ``choose_source``, ``weekly`` (symbol, note) from
+    ``with_weekly_fallback``: at most four rows per symbol.
+    """
+    place = F.when(F.col("interval") == DAILY, 0).when(F.col("interval") == WEEKLY, 1).otherwise(3)
+    rows = by_interval.select("symbol", place.alias("place"), "notes").unionByName(
+        weekly.select("symbol", F.lit(2).alias("place"), F.array("note").alias("notes"))
+    )
+    ordered = F.sort_array(F.collect_list(F.struct("place", "notes")))
+    return rows.groupBy("symbol").agg(ordered.alias("n")).select(
+        "symbol", F.array_distinct(F.flatten("n.notes")).alias("notes")
+    )
+
+
 def instrument_info(symbols: DataFrame, instruments: DataFrame) -> DataFrame:
     """Name (long, short or local name, else the ticker), PE and PB of each symbol."""
     joined = symbols.select("symbol").distinct().join(instruments, "symbol", "left")

@@ -532,6 +532,12 @@ ORACLES = {
         " WHEN 3 THEN 'fell back|no valid data' ELSE '' END AS notes FROM codes"
         " UNION ALL SELECT ticker, '60m', 'fell back|no hourly bars' FROM (SELECT DISTINCT ticker FROM codes)",
     ),
+    "merged_notes": query(
+        [CODES],
+        "SELECT symbol, CASE CAST(symbol AS BIGINT) % 4 WHEN 1 THEN 'fell back|weekly bars resampled from daily'"
+        " WHEN 3 THEN 'fell back|no valid data' ELSE 'weekly bars resampled from daily' END AS notes FROM codes"
+        " UNION ALL SELECT ticker, 'fell back|no hourly bars' FROM (SELECT DISTINCT ticker FROM codes)",
+    ),
     "instrument_info": query(
         [CODES],
         "SELECT symbol, CASE turn WHEN 0 THEN s_name WHEN 1 THEN 'S' || symbol WHEN 2 THEN 'L' || symbol"
