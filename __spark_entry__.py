@@ -298,8 +298,23 @@ def q_top_scores(spark, d):
     return shown(top_scores(fx.supplier_daily(spark, d), PERIOD))
 
 
+try:  # the corpus operators are a part of their own, which may be absent
+    from barframe.llm.queries import ORACLES as CORPUS_ORACLES
+    from barframe.llm.queries import QUERIES as CORPUS_QUERIES
+
+    import corpus_pipeline
+except ModuleNotFoundError as e:
+    if e.name not in ("barframe.llm", "barframe.llm.queries", "corpus_pipeline"):
+        raise
+    CORPUS_QUERIES, CORPUS_ORACLES = {}, {}
+else:
+    CORPUS_QUERIES = CORPUS_QUERIES | {"pipeline": corpus_pipeline.run}
+    if corpus_pipeline.ORACLE_SQL:
+        CORPUS_ORACLES = CORPUS_ORACLES | {"pipeline": corpus_pipeline.ORACLE_SQL}
+
+
 def queries() -> dict[str, Query]:
-    return {
+    return CORPUS_QUERIES | {
         "clean_bars": q_clean_bars,
         "ticker_normalize": q_ticker_normalize,
         "source_fallback": q_source_fallback,
@@ -362,4 +377,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | CORPUS_ORACLES
