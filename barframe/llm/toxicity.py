@@ -31,10 +31,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BITS = 18
-BEGINNINGS = (3, 4, 5, 6)
+BEGINNINGS = (3, 4, 5, 6, 7, 8)
 SEGMENT = 48
-#: At most so many segments with toxic tokens, and so many without, are trained on.
-SEGMENTS = 6000
+#: Beyond the cover, a feature must occur in so many toxic documents.
+SURE = 8
+#: At most so many segments with toxic tokens, and so many of either kind without, are trained on.
+SEGMENTS = 2000
 #: Of the most likely tokens so many make the score.
 TOP = 3
 #: Tokens are runs of ASCII letters and of bytes above them, ASCII letters in lower case.
@@ -58,19 +60,31 @@ def hashed(word: bytes) -> list[int]:
     return [crc32(f) & ((1 << BITS) - 1) for f in features(word)]
 
 
-def picked_features(toxic: list[set[bytes]], clean: list[set[bytes]], least: int = 2) -> set[bytes]:
-    """A greedy cover of the toxic documents by features that occur in almost no clean one."""
+def picked_features(toxic: list[set[bytes]], clean: list[set[bytes]]) -> set[bytes]:
+    """A greedy cover of the toxic documents by features that occur in almost no clean one, and all
+    features that tell toxic documents as well as those of the cover do."""
+    least = max(2, len(toxic) // 200)
+    frequent = {w for w, n in Counter(w for doc in toxic for w in doc).items() if n >= least}
+    begun = Counter(f for doc in toxic for f in {f for w in doc for f in features(w)[1:]})
+    able = {b"=" + w for w in frequent} | {f for f, n in begun.items() if n >= least}
+    known: dict[bytes, list[bytes]] = {}
+
+    def found_in(doc: set[bytes]) -> set[bytes]:
+        for w in doc:
+            if w not in known:
+                known[w] = [f for f in features(w) if f in able]
+        return {f for w in doc for f in known[w]}
+
     in_toxic: dict[bytes, set[int]] = {}
     for i, doc in enumerate(toxic):
-        for f in {f for word in doc for f in features(word)}:
+        for f in found_in(doc):
             in_toxic.setdefault(f, set()).add(i)
-    in_clean = Counter()
-    for doc in clean:
-        in_clean.update(f for f in {f for word in doc for f in features(word)} if f in in_toxic)
+    in_clean = Counter(f for doc in clean for f in found_in(doc))
+    # in proportion, a feature may occur in one clean document for every twenty-five toxic ones
     ratio = max(1, len(clean)) / max(1, len(toxic))
-    chosen, open_docs = set(), set(range(len(toxic)))
-    # in proportion, a feature may occur in one clean document for every fifty toxic ones
-    left = {f: docs for f, docs in in_toxic.items() if len(docs) >= least and in_clean[f] <= len(docs) * ratio / 50}
+    good = {f: docs for f, docs in in_toxic.items() if in_clean[f] <= len(docs) * ratio / 25}
+    chosen: set[bytes] = set()
+    left, open_docs = dict(good), set(range(len(toxic)))
     while open_docs and left:
         best = max(left, key=lambda f: (len(left[f] & open_docs), len(left[f]), len(f), f))
         covered = left.pop(best) & open_docs
@@ -79,7 +93,9 @@ def picked_features(toxic: list[set[bytes]], clean: list[set[bytes]], least: int
         chosen.add(best)
         open_docs -= covered
         left = {f: docs for f, docs in left.items() if len(docs & open_docs) >= least}
-    return chosen
+    sizes = sorted(len(good[f]) for f in chosen)
+    usual = sizes[len(sizes) // 2] / 2 if sizes else len(toxic) + 1
+    return chosen | {f for f, docs in good.items() if len(docs) >= max(usual, least, SURE)}
 
 
 def _step(odds: np.ndarray, own: np.ndarray, trans: np.ndarray) -> np.ndarray:
@@ -147,7 +163,7 @@ def _segments(docs: list[tuple[list[bytes], list[int]]]) -> tuple[list[list[byte
     return words, tags
 
 
-def train(examples: list[tuple[str, int]], steps: int = 120, rate: float = 0.5, decay: float = 1e-4) -> Field:
+def train(examples: list[tuple[str, int]], steps: int = 40, rate: float = 1.0, decay: float = 1e-4) -> Field:
     """examples: (text, 0 or 1)."""
     toxic = [t for t in (tokens(text) for text, y in examples if y) if t]
     clean = [t for t in (tokens(text) for text, y in examples if not y) if t]
@@ -159,11 +175,14 @@ def train(examples: list[tuple[str, int]], steps: int = 120, rate: float = 0.5,
             verdict[word] = int(any(f in chosen for f in features(word)))
         return verdict[word]
 
-    words, tags = _segments([(t, [tag(w) for w in t]) for t in toxic] + [(t, [0] * len(t)) for t in clean])
-    # segments that hold a toxic token, and others from all over the examples
+    words, tags = _segments([(t, [tag(w) for w in t]) for t in toxic] + [(t, [0 * tag(w) for w in t]) for t in clean])
+    # segments with toxic tokens, those without whose tokens share a feature with toxic ones, and others
+    suspect = {f for w, y in verdict.items() if y for f in features(w)}
+    alike = {w: not suspect.isdisjoint(features(w)) for w in verdict} if suspect else {}
     marked = [i for i, t in enumerate(tags) if any(t)]
-    others = [i for i, t in enumerate(tags) if not any(t)]
-    keep = [x for part in (marked, others) for x in part[:: max(1, -(-len(part) // SEGMENTS))]]
+    clear = [i for i, t in enumerate(tags) if not any(t)]
+    close = [i for i in clear if any(alike.get(w) for w in words[i])]
+    keep = [x for part in (marked, close, clear) for x in part[:: max(1, -(-len(part) // SEGMENTS))]]
     weights, trans = np.zeros(1 << BITS), np.zeros((2, 2))
     if not keep:
         trans[0, 1] = -8.0
@@ -245,7 +264,7 @@ def learn(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
-    sample: int = 3000,
+    sample: int = 2000,
     sample_chars: int = 20_000,
 ) -> Field:
     """The field, trained on ``sample`` documents of each label that hash first. usable: which ids may teach."""
