@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barframe.llm import exact_dedup, mixing, packing, simhash, toxicity
+from barframe.llm import exact_dedup, langid, mixing, packing, simhash, toxicity, url_filter
 from barframe.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,39 @@ def op1_simhash(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op2_url_filter(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages")
+    return url_filter.judge(pages, url_filter.rule_table(spark, RULES)).withColumnRenamed("id", "page_id")
+
+
+OP2_SQL = f"""
+WITH rules(host, path, verdict) AS (VALUES {", ".join(map(str, RULES))}),
+parsed AS (
+  SELECT page_id, position('://' IN url) AS start, substr(url, position('://' IN url) + 3) AS rest FROM pages
+), judged AS (
+  SELECT page_id,
+    CASE WHEN start > 0 THEN translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+    CASE WHEN start > 0 THEN regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
+  FROM parsed
+)
+SELECT page_id, host, path,
+  (SELECT arg_max(r.host || r.path, length(r.host || r.path)) FROM rules r
+   WHERE (j.host = r.host OR suffix(j.host, '.' || r.host)) AND starts_with(j.path, r.path)) AS rule,
+  coalesce((SELECT arg_max(r.verdict, length(r.host || r.path)) FROM rules r
+   WHERE (j.host = r.host OR suffix(j.host, '.' || r.host)) AND starts_with(j.path, r.path)), 'allow') AS verdict
+FROM judged j
+"""
+
+
 def toxic_field(spark: SparkSession, docs: DataFrame, d: str) -> toxicity.Field:
     return toxicity.learn(docs, table(spark, d, "labels"), usable=fold(5) != 0)
 
@@ -46,6 +79,15 @@ FROM documents WINDOW copies AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op7_langid(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    model = langid.learn(docs.where(fold(3) != 1))
+    held_out = F.coalesce(fold(3) == 1, F.lit(False))
+    return langid.identify(docs, model, carried=F.struct("doc_id", held_out.alias("held_out"))).select(
+        "row.*", "lang_pred", "score"
+    )
+
+
 def op8_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -59,10 +101,12 @@ def op9_mixing(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
+    "op2_url_filter": op2_url_filter,
     "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_langid": op7_langid,
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
 }
 
-ORACLES = {"op5_exact_dedup": OP5_SQL}
+ORACLES = {"op2_url_filter": OP2_SQL, "op5_exact_dedup": OP5_SQL}
