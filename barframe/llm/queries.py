@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barframe.llm import exact_dedup, langid, mixing, packing, simhash, toxicity, url_filter
+from barframe.llm import digest, exact_dedup, langid, mixing, packing, simhash, toxicity, url_filter
 from barframe.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,6 +99,10 @@ def op9_mixing(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op10_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    return digest.digests(table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_url_filter": op2_url_filter,
@@ -107,6 +111,7 @@ QUERIES: dict[str, Query] = {
     "op7_langid": op7_langid,
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
+    "op10_fingerprint": op10_fingerprint,
 }
 
 ORACLES = {"op2_url_filter": OP2_SQL, "op5_exact_dedup": OP5_SQL}
