@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barframe.llm import digest, exact_dedup, langid, mixing, packing, simhash, toxicity, url_filter
+from barframe.llm import digest, exact_dedup, langid, line_dedup, mixing, packing, secret_scan, simhash, toxicity, url_filter
 from barframe.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,14 @@ FROM judged j
 """
 
 
+def op3_secret_scan(spark: SparkSession, d: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, d, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), "start", F.length("candidate").alias("length"), F.sha2("candidate", 256).alias("candidate_sha256"),
+        "score", (F.col("score") >= 0.5).alias("kept"),
+    )
+
+
 def toxic_field(spark: SparkSession, docs: DataFrame, d: str) -> toxicity.Field:
     return toxicity.learn(docs, table(spark, d, "labels"), usable=fold(5) != 0)
 
@@ -79,6 +87,13 @@ FROM documents WINDOW copies AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op6_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    cleaned = line_dedup.without_repeated_lines(table(spark, d, "documents"))
+    return cleaned.select(
+        F.col("id").alias("doc_id"), "lines", "dropped", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "text"
+    )
+
+
 def op7_langid(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     model = langid.learn(docs.where(fold(3) != 1))
@@ -106,8 +121,10 @@ def op10_fingerprint(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_url_filter": op2_url_filter,
+    "op3_secret_scan": op3_secret_scan,
     "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_line_dedup": op6_line_dedup,
     "op7_langid": op7_langid,
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
