@@ -26,6 +26,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def sent_if_small(df: DataFrame, rows: int = 250_000) -> DataFrame:
+    """The rows, marked for broadcast if there are no more than so many; joins shuffle them otherwise.
+
+    For checkpointed rows of a few numbers or hashes each, some 50 bytes.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -3,7 +3,8 @@
 Only hashes and ids travel for texts that occur once. Texts of hashes that occur more than once are
 aggregated by (hash, text), combined before the shuffle, so that a large group costs one text a task; this
 is the comparison of bytes. A hash with more than one text (a collision) makes as many groups.
-Rows are dealt over slices of each hash by their id, against groups of a third of all rows.
+Rows are dealt over slices of each hash by their id, against groups of a third of all rows. The repeated hashes
+are broadcast if they are few (a count decides), and texts then stay where they are.
 
 Null texts count as empty, and empty texts are copies of each other. Null ids lose to all others; a group
 of null ids alone has keep_id null. Of rows that repeat id and text one stays. Extra columns are carried
@@ -15,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barframe.llm.common import checkpointed, sent_if_small
+
 SLICES = 16
 
 
@@ -52,7 +55,10 @@ def copy_groups(
     """
     best = {"smallest": F.min, "largest": F.max}[keep]
     rows = _row(F.lit(None) if carried is None else carried, docs, id_col, text_col, normalize)
-    repeated = _sliced(rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"))
+    by_id = rows.groupBy("hash", "id").agg(F.count(F.lit(1)).alias("n"))
+    repeated = checkpointed(by_id.groupBy("hash").agg(F.sum("n").alias("n"), F.max("n").alias("most")).where("n > 1"))
+    ids_repeat = not repeated.where("most > 1").isEmpty()
+    repeated = sent_if_small(_sliced(repeated.select("hash")))
     texts = (
         rows.join(repeated, ["hash", "slice"], "left_semi")
         .groupBy("hash", "text")
@@ -60,14 +66,17 @@ def copy_groups(
     )
     # a text goes along only where its hash has several
     of_hash = Window.partitionBy("hash")
-    groups = _sliced(
+    groups = checkpointed(
         texts.withColumn("texts", F.count(F.lit(1)).over(of_hash)).select(
             F.col("hash").alias("g_hash"),
             F.when(F.col("texts") > 1, F.col("text")).alias("g_text"),
             "keep_id",
             "group_size",
         )
-    ).withColumnRenamed("slice", "g_slice")
+    )
+    groups = _sliced(groups).withColumnRenamed("slice", "g_slice")
+    if groups.where("g_text is not null").isEmpty():
+        groups = sent_if_small(groups)
     its_own = (
         (rows["hash"] == groups["g_hash"])
         & (rows["slice"] == groups["g_slice"])
@@ -75,15 +84,18 @@ def copy_groups(
     )
     joined = rows.join(groups, its_own, "left")
     alone = F.col("group_size").isNull()
-    # the hash of the text tells the groups of a hash apart
-    again = Window.partitionBy("hash", "slice", "id", F.xxhash64("g_text")).orderBy("slice")
+    stays = F.col("id").eqNullSafe(F.col("keep_id"))
+    if ids_repeat:
+        # the hash of the text tells the groups of a hash apart
+        again = Window.partitionBy("hash", "slice", "id", F.xxhash64("g_text")).orderBy("slice")
+        stays = stays & (F.row_number().over(again) == 1)
     keep_id = F.when(alone, F.col("id")).otherwise(F.col("keep_id"))
     return joined.select(
         "id",
         "row",
         keep_id.alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        (alone | (F.col("id").eqNullSafe(F.col("keep_id")) & (F.row_number().over(again) == 1))).alias("kept"),
+        (alone | stays).alias("kept"),
     )
 
 
