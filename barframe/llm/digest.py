@@ -201,7 +201,7 @@ def in_ranges(docs: DataFrame, id_col: str, text_col: str, ranges: int) -> DataF
     given = docs.select(
         F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("tie")
     )
-    cuts = sorted(set(given.select(F.col("id").cast("double").alias("x")).approxQuantile("x", [k / ranges for k in range(1, ranges)], 0.2 / ranges)))
+    cuts = sorted(set(given.select(F.col("id").cast("double").alias("x")).approxQuantile("x", [k / ranges for k in range(1, ranges)], 0.2 / ranges))) or [0.0]
     split = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="x", outputCol="range", handleInvalid="keep")
     # null ids come last of all; ranges count from the largest ids
     dealt = split.transform(given.withColumn("x", F.coalesce(F.col("id").cast("double"), F.lit(-float("inf")))))

@@ -185,8 +185,7 @@ def train(examples: list[tuple[str, int]], steps: int = 40, rate: float = 1.0, d
     keep = [x for part in (marked, close, clear) for x in part[:: max(1, -(-len(part) // SEGMENTS))]]
     weights, trans = np.zeros(1 << BITS), np.zeros((2, 2))
     if not keep:
-        trans[0, 1] = -8.0
-        return Field(weights, trans)
+        return Field(weights - 8, trans)
     n, longest = len(keep), max(len(words[i]) for i in keep)
     real = np.zeros((n, longest), dtype=bool)
     gold = np.zeros((n, longest), dtype=np.int64)
