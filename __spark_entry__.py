@@ -288,10 +288,9 @@ def q_hourly_chart_feed(spark, d):
 
 
 def q_report_context(spark, d):
-    news = latest_news(fx.event_news(spark, d))
-    return out.report_context(
-        _analysis(spark, d, ["short"]), fundamentals=fund.figures_text(_ttm(spark, d, 4)), news=news
-    )
+    """Of event types, whose news bear the same symbols."""
+    history = _history(spark, d, lambda spark, d: fx.event_bars(spark, d, DAILY))
+    return out.report_context(analyze(history, MODES), news=latest_news(fx.event_news(spark, d)))
 
 
 def q_top_scores(spark, d):

@@ -113,8 +113,11 @@ def raw_event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         {
             "date": F.when(hour == "01", "not a date")
             .when(hour == "02", F.concat("date", F.lit("+08:00")))
+            .when(hour == "07", F.translate("date", "-", "/"))
+            .when(hour == "08", F.regexp_replace("date", r"^(\d+)-(\d+)-(\d+)", "$1$2$3"))
+            .when(hour == "09", F.regexp_replace("date", r"^(\d+)-(\d+)-(\d+)", "$2/$3/$1"))
             .otherwise(F.col("date")),
-            "open": F.when(hour == "03", "12,5").otherwise(F.col("open")),
+            "open": F.when(hour == "03", "12,5").when(hour == "10", "1.5d").otherwise(F.col("open")),
             "high": F.when(hour == "04", "Infinity").otherwise(F.col("high")),
             "low": F.when(hour == "05", "NaN").otherwise(F.col("low")),
             "close": F.when(hour == "06", None).otherwise(F.lit("7.25")),

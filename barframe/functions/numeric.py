@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Spark's cast also reads the type letters of Java literals, as in 1.5d.
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -13,7 +17,7 @@ def col(c: Column | str) -> Column:
 def to_finite(c: Column | str) -> Column:
     """Text or number to double; bad text, NaN and infinities become NULL."""
     v = col(c).try_cast("double")
-    return F.when(~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))), v)
+    return F.when(col(c).cast("string").rlike(NUMBER) & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))), v)
 
 
 def ratio(a: Column, b: Column) -> Column:

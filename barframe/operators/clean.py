@@ -23,11 +23,27 @@ def rename_headers(raw: DataFrame) -> DataFrame:
     )
 
 
+#: Written forms of a day, as pattern and ISO text. Month first where both orders could be meant.
+DAY_FORMS = (
+    (r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})(?!\d)", "$1-$2-$3"),
+    (r"^(\d{4})(\d{2})(\d{2})(?!\d)", "$1-$2-$3"),
+    (r"^(1[3-9]|2\d|3[01])[/.-](\d{1,2})[/.-](\d{4})(?!\d)", "$3-$2-$1"),
+    (r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})(?!\d)", "$3-$1-$2"),
+)
+
+
 def wall_clock(text: Column | str) -> Column:
-    """Text to a time without zone: an offset is dropped, the clock reading kept."""
-    bare = F.regexp_replace(F.trim(text), r"\s*(Z|[+-]\d{2}:?\d{2})$", "")
-    bare = F.when(bare.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), bare)
-    return bare.try_cast("timestamp_ntz")
+    """Text to a time without zone: an offset is dropped, the clock reading kept.
+
+    Days are year-month-day with ``-``, ``/``, ``.`` or as eight digits, else month/day/year, or day/month/year where the
+    first number is above 12.
+    """
+    bare = F.trim(text)
+    for pattern, iso in DAY_FORMS:
+        bare = F.regexp_replace(bare, pattern, iso)
+    timed = F.regexp_replace(bare, r"(:\d{2}(\.\d+)?)\s*(Z|[+-]\d{2}:?\d{2})$", "$1")
+    timed = F.regexp_replace(timed, r"^(\d{4}-\d{1,2}-\d{1,2})\s*(Z|[+-]\d{2}:?\d{2})$", "$1")
+    return F.when(timed.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), timed).try_cast("timestamp_ntz")
 
 
 def clean_bars(raw: DataFrame, order: str = "ingest_seq") -> DataFrame:
@@ -35,7 +51,8 @@ def clean_bars(raw: DataFrame, order: str = "ingest_seq") -> DataFrame:
 
     ``raw`` has text columns symbol, interval, date and the five numbers, under any known header.
     Rows lacking a time or a number are dropped. The choice among copies is an aggregation, so
-    copies are combined before the exchange and no key's copies gather in one task.
+    copies are combined before the exchange and no key's copies gather in one task. ``order`` must differ
+    between copies of a bar: of equal ones any may win.
     """
     named = rename_headers(raw)
     bars = named.select(

@@ -57,7 +57,10 @@ def top_per_key(
 
 
 def tail_bars(bars: DataFrame, keep: int | dict[str, int], salts: int = SALTS) -> DataFrame:
-    """Last bars of each series; ``keep`` is one number or one per interval."""
+    """Last bars of each series; ``keep`` is one number or one per interval.
+
+    Bars of an interval that has no number raise an error.
+    """
     return _tail(bars, keep, salts).drop("_back")
 
 
@@ -66,7 +69,7 @@ def _tail(bars: DataFrame, keep: int | dict[str, int], salts: int) -> DataFrame:
     out = top_per_key(bars, SERIES, [F.desc("ts")], most, ["ts"], "_back", salts)
     if isinstance(keep, int):
         return out
-    limit = F.lit(None).cast("int")
+    limit = F.raise_error(F.concat(F.lit("no number of bars to keep for interval "), "interval")).cast("int")
     for interval, n in keep.items():
         limit = F.when(F.col("interval") == interval, n).otherwise(limit)
     return out.filter(F.col("_back") <= limit)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType
 
 from barframe.operators.resample import period_start
 from barframe.schema import (
@@ -23,14 +24,20 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", **options:
 
 
 def scan_window(bars: DataFrame, period: str, as_of: Column) -> DataFrame:
-    """Bars a look-back period can need, up to ``as_of``; the bounds reach the file scan."""
+    """Bars a look-back period can need, up to ``as_of``; the bounds reach the file scan.
+
+    An ``as_of`` that is a date includes its whole day.
+    """
     days = PERIOD_BARS.get(period, DEFAULT_PERIOD_BARS)
     hourly = F.col("interval") == HOURLY
     start = {
         True: period_start(F.lit(HOURLY), as_of, days),
         False: period_start(F.lit(DAILY), as_of, days),
     }
-    late = F.col("ts") <= as_of.cast("timestamp_ntz")
+    if isinstance(bars.select(as_of.alias("as_of")).schema["as_of"].dataType, DateType):
+        late = F.col("ts") < F.date_add(as_of, 1).cast("timestamp_ntz")
+    else:
+        late = F.col("ts") <= as_of.cast("timestamp_ntz")
     return bars.filter(
         late & ((hourly & (F.col("ts") >= start[True])) | (~hourly & (F.col("ts") >= start[False])))
     )

@@ -510,7 +510,7 @@ ORACLES = {
         [F3],
         "SELECT symbol, interval, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, round(open, 4) AS open,"
         " round(high, 4) AS high, round(low, 4) AS low,"
-        " round(CASE WHEN hour(ts) IN (1, 3, 4, 5, 6) THEN close ELSE 7.25 END, 4) AS close,"
+        " round(CASE WHEN hour(ts) IN (1, 3, 4, 5, 6, 10) THEN close ELSE 7.25 END, 4) AS close,"
         " round(volume, 4) AS volume FROM f3",
     ),
     "ticker_normalize": query(
@@ -561,7 +561,7 @@ ORACLES = {
     ),
     "scan_window": query(
         MIXED,
-        f"SELECT {BAR_OUT} FROM mixed WHERE ts <= TIMESTAMP '2001-06-30' AND ts >= TIMESTAMP '2001-06-30'"
+        f"SELECT {BAR_OUT} FROM mixed WHERE ts < TIMESTAMP '2001-07-01' AND ts >= TIMESTAMP '2001-06-30'"
         " - CASE interval WHEN '60m' THEN INTERVAL 40 DAY ELSE INTERVAL 408 DAY END",
     ),
     "ma_set": full("ma5", "ma10", "ma20", "ma60", "ma120"),

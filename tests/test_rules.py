@@ -58,11 +58,20 @@ def test_clean_bars(spark):
         ("s", "1d", "2024-01-04", None, "1", "inf", "0.5", "1.5", "10", 5),
         ("s", "1d", "2024-01-05", None, "1", "2", "bad", "1.5", "10", 6),
         ("s", "1d", "2024-01-06", None, "1", "2", "1", "1.5", None, 7),
+        ("s", "1d", "2024/1/9", None, "1", "2", "1", "1.5", "10", 8),
+        ("s", "1d", "20240110", None, "1", "2", "1", "1.5", "10", 9),
+        ("s", "1d", "01/11/2024 09:30", None, "1", "2", "1", "1.5", "10", 10),
+        ("s", "1d", "31/01/2024", None, "1", "2", "1", "1.5", "10", 11),
+        ("s", "1d", "2024-02-01", None, "1", "2", "1", "1.5d", "10", 12),
     ]
     got = clean_bars(spark.createDataFrame(rows, cols)).orderBy("ts").collect()
     assert [(r.ts, r.close, r.volume) for r in got] == [
         (dt.datetime(2024, 1, 2), 1.6, 11.0),
         (dt.datetime(2024, 1, 3, 9, 30), 1.5, 10.0),
+        (dt.datetime(2024, 1, 9), 1.5, 10.0),
+        (dt.datetime(2024, 1, 10), 1.5, 10.0),
+        (dt.datetime(2024, 1, 11, 9, 30), 1.5, 10.0),
+        (dt.datetime(2024, 1, 31), 1.5, 10.0),
     ]
 
 
