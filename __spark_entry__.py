@@ -221,15 +221,28 @@ def q_dip_entry(spark, d):
     return shown(sig.add_dip_entry(_analysis(spark, d)).select("symbol", "mode", "dip.*"))
 
 
+def _early_analysis(spark, d, modes):
+    """Nations early on, those with less than 20 bars too."""
+    early = fx.nation_daily(spark, d).filter(F.col("ts") < F.lit("1995-03-01").cast("timestamp_ntz"))
+    return analyze(latest_history(early, bars_kept(PERIOD)), modes, short_series=True)
+
+
+def q_behavior_short(spark, d):
+    a = sig.add_behavior(_early_analysis(spark, d, ["short"]))
+    return shown(a.select("symbol", "behavior.behavior", "behavior.confidence"))
+
+
+def q_dip_entry_short(spark, d):
+    return shown(sig.add_dip_entry(_early_analysis(spark, d, MODES)).select("symbol", "mode", "dip.*"))
+
+
 # --- across intervals and symbols -------------------------------------------
 
 
 def q_composite(spark, d):
     bars, _ = with_weekly_fallback(fx.mixed_bars(spark, d))
     history = latest_history(bars, bars_kept(PERIOD))
-    scores = scores_by_interval(history)
-    views = [composite(scores, v) for v in VIEWS]
-    return shown(views[0].unionByName(views[1]).unionByName(views[2]))
+    return shown(composite(scores_by_interval(history), list(VIEWS)))
 
 
 def q_sector_heatmap(spark, d):
@@ -357,6 +370,8 @@ def queries() -> dict[str, Query]:
         "analysis_text": q_analysis_text,
         "behavior": q_behavior,
         "dip_entry": q_dip_entry,
+        "behavior_short": q_behavior_short,
+        "dip_entry_short": q_dip_entry_short,
         "composite": q_composite,
         "sector_heatmap": q_sector_heatmap,
         "fundamental_ttm": q_fundamental_ttm,

@@ -58,9 +58,9 @@ def with_modes(df: DataFrame, modes: list[str]) -> DataFrame:
     return df.selectExpr("*", f"explode(array({rows})) as _m").select(*df.columns, "_m.*")
 
 
-def pattern_record(history: DataFrame) -> DataFrame:
+def pattern_record(history: DataFrame, min_bars: int = MIN_BARS) -> DataFrame:
     """Latest bar of every long enough series with levels, divergences, patterns and signals."""
-    df = latest_rows(history).filter(F.col("n_bars") >= MIN_BARS)
+    df = latest_rows(history).filter(F.col("n_bars") >= min_bars)
     df = add_concentration(add_divergences(add_levels(df)))
     return add_price_patterns(add_candle_patterns(add_volume_price_signals(df)))
 
@@ -239,14 +239,18 @@ RECORD = [
 
 
 def analyze(
-    history: DataFrame, modes: list[str] | None = None, instruments: DataFrame | None = None
+    history: DataFrame,
+    modes: list[str] | None = None,
+    instruments: DataFrame | None = None,
+    short_series: bool = False,
 ) -> DataFrame:
     """Analysis record of every series of at least 20 bars, once per trade mode.
 
     ``history`` comes from ``indicators.latest_history``. ``instruments`` may give pe and pb by
-    symbol.
+    symbol. With ``short_series`` shorter series have a row too and a column ``n_bars`` is added, by which
+    ``signals.add_behavior`` and ``signals.add_dip_entry`` say that there is not enough data.
     """
-    df = pattern_record(history).withColumn("change", F.expr(CHANGE))
+    df = pattern_record(history, 1 if short_series else MIN_BARS).withColumn("change", F.expr(CHANGE))
     kept = [c for c in df.columns if c not in SNAPSHOT and not c.startswith("known_")]
     # every right-hand side reads the columns as they were, so the order is of no matter
     df = df.selectExpr(*kept, "close as price", *[f"{sql} as {c}" for c, sql in SNAPSHOT.items()])
@@ -255,4 +259,4 @@ def analyze(
     else:
         df = df.join(instruments.select("symbol", "pe", "pb"), "symbol", "left")
     df = with_modes(df, modes or [DEFAULT_MODE])
-    return _status(_risk(_classes(df))).select(*RECORD)
+    return _status(_risk(_classes(df))).select(*RECORD, *(["n_bars"] if short_series else []))

@@ -36,26 +36,33 @@ def scores_by_interval(history: DataFrame) -> DataFrame:
     return scored.groupBy("symbol").agg(*columns)
 
 
-def composite(by_interval: DataFrame, view: str) -> DataFrame:
-    """Weighted mean of the interval scores a view uses, over those with enough bars.
+def composite(by_interval: DataFrame, views: str | list[str]) -> DataFrame:
+    """Weighted mean of the interval scores a view uses, over those with enough bars; a row per symbol and view.
 
     A view that asks for hourly bars and lacks them falls back to daily alone.
     """
-    _, w_daily, w_weekly, w_hourly = VIEWS[view]
-    uses = VIEW_INTERVALS[view]
-    hourly = "coalesce(has_hourly, false)" if HOURLY in uses else "false"
-    df = by_interval.selectExpr(
+
+    def row(view: str) -> str:
+        _, daily, weekly, hourly = VIEWS[view]
+        uses = VIEW_INTERVALS[view]
+        return (
+            f"named_struct('view', '{view}', 'daily', {daily}D, 'weekly', {weekly}D, 'hourly', {hourly}D,"
+            f" 'uses_w', {str(WEEKLY in uses).lower()}, 'uses_h', {str(HOURLY in uses).lower()})"
+        )
+
+    names = [views] if isinstance(views, str) else dict.fromkeys(views)
+    rows = ", ".join(row(v) for v in names)
+    df = by_interval.selectExpr("*", f"explode(array({rows})) as _v").selectExpr(
         "*",
         "coalesce(has_daily, false) as _d",
-        ("coalesce(has_weekly, false)" if WEEKLY in uses else "false") + " as _w",
-        f"{hourly} as _h",
+        "_v.uses_w and coalesce(has_weekly, false) as _w",
+        "_v.uses_h and coalesce(has_hourly, false) as _h",
     )
-    lacks = "not _h" if HOURLY in uses else "false"
     df = df.selectExpr(
         "*",
-        f"if({lacks}, 1D, {w_daily}D) as w_daily",
-        f"{w_weekly}D as w_weekly",
-        f"if({lacks}, 0D, {w_hourly}D) as w_hourly",
+        "if(_v.uses_h and not _h, 1D, _v.daily) as w_daily",
+        "_v.weekly as w_weekly",
+        "if(_v.uses_h and not _h, 0D, _v.hourly) as w_hourly",
     )
     parts = (("_d", "daily"), ("_w", "weekly"), ("_h", "hourly"))
     weight = " + ".join(f"if({a}, w_{n}, 0D)" for a, n in parts)
@@ -64,15 +71,15 @@ def composite(by_interval: DataFrame, view: str) -> DataFrame:
     count = " + ".join(f"cast({a} as int)" for a, _ in parts)
     return df.selectExpr(
         "symbol",
-        f"'{view}' as view",
+        "_v.view as view",
         *[f"if({a}, score_{n}, null) as score_{n}" for a, n in parts],
         "w_daily",
         "w_weekly",
         "w_hourly",
         f"coalesce(try_divide({points}, if({weight} > 0, {weight}, null)),"
         f" try_divide(cast({plain} as double), cast({count} as double)), 0D) as composite_score",
-        *[f"if({'_h'}, hourly_{f}, null) as hourly_{f}" for f in ("close", "rsi", "macd_hist", "vol_ratio")],
-        *[f"if({'true' if WEEKLY in uses else 'false'}, weekly_{f}, null) as weekly_{f}" for f in ("close", "rsi", "macd_hist", "ma20")],
+        *[f"if(_h, hourly_{f}, null) as hourly_{f}" for f in ("close", "rsi", "macd_hist", "vol_ratio")],
+        *[f"if(_v.uses_w, weekly_{f}, null) as weekly_{f}" for f in ("close", "rsi", "macd_hist", "ma20")],
     )
 
 

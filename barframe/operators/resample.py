@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barframe.schema import BAR, DAILY, HOURLY, WEEKLY
 
 WEEKLY_NOTE = "weekly bars resampled from daily"
+
+
 def bars_from_trades(
     trades: DataFrame,
     symbol: Column,
@@ -60,8 +62,8 @@ def week_ending(ts: Column | str) -> Column:
     return F.next_day(F.date_sub(ts, 1), "FRI").cast("timestamp_ntz")
 
 
-def weekly_from_daily(daily: DataFrame) -> DataFrame:
-    """Weekly bars; weeks without a bar do not appear."""
+def _weeks(daily: DataFrame) -> DataFrame:
+    """Weekly bars and n_days, the number of daily bars in each."""
     return (
         daily.groupBy("symbol", week_ending("ts").alias("week"))
         .agg(
@@ -70,38 +72,41 @@ def weekly_from_daily(daily: DataFrame) -> DataFrame:
             F.min("low").alias("low"),
             F.max_by("close", "ts").alias("close"),
             F.sum("volume").alias("volume"),
+            F.count(F.lit(1)).alias("n_days"),
         )
         .withColumnRenamed("week", "ts")
         .withColumn("interval", F.lit(WEEKLY))
-        .select(*BAR)
+        .select(*BAR, "n_days")
     )
 
 
+def weekly_from_daily(daily: DataFrame) -> DataFrame:
+    """Weekly bars; weeks without a bar do not appear."""
+    return _weeks(daily).select(*BAR)
+
+
 def with_weekly_fallback(
     bars: DataFrame, min_weekly: int = 20, min_daily: int = 80
 ) -> tuple[DataFrame, DataFrame]:
     """Replace thin native weekly bars by resampled daily ones.
 
-    Returns the bars and a (symbol, note) table of the symbols it was done for.
+    Returns the bars and a (symbol, note) table of the symbols it was done for. Daily bars are
+    combined into weeks where they lie; what a symbol has is counted over its weekly rows, of
+    which there are some 52 a year, so no bars are joined and no task gets all daily bars of a symbol.
     """
-    def held(interval: str) -> Column:
-        return F.count(F.when(F.col("interval") == interval, 1))
-
-    thin = (
-        bars.groupBy("symbol")
-        .agg(held(DAILY).alias("n_daily"), held(WEEKLY).alias("n_weekly"))
-        .filter((F.col("n_weekly") < min_weekly) & (F.col("n_daily") >= min_daily))
-        .select("symbol")
-    )
-    # only weekly rows are joined; daily bars are combined into weeks where they lie
-    weekly = bars.filter(F.col("interval") == WEEKLY)
-    kept = bars.filter(F.col("interval") != WEEKLY).unionByName(
-        weekly.join(thin, "symbol", "left_anti")
-    )
-    resampled = weekly_from_daily(bars.filter(F.col("interval") == DAILY)).join(
-        thin, "symbol", "left_semi"
+    native = bars.filter(F.col("interval") == WEEKLY).select(*BAR, F.lit(0).cast("bigint").alias("n_days"))
+    made = _weeks(bars.filter(F.col("interval") == DAILY))
+    own = Window.partitionBy("symbol")
+    weekly = made.unionByName(native).select(
+        "*",
+        F.sum("n_days").over(own).alias("n_daily"),
+        F.count(F.when(F.col("n_days") == 0, 1)).over(own).alias("n_weekly"),
     )
-    return kept.unionByName(resampled), thin.withColumn("note", F.lit(WEEKLY_NOTE))
+    thin = (F.col("n_weekly") < min_weekly) & (F.col("n_daily") >= min_daily)
+    chosen = weekly.filter(F.when(F.col("n_days") > 0, thin).otherwise(~thin))
+    kept = bars.filter(F.col("interval").isNull() | (F.col("interval") != WEEKLY)).select(*BAR)
+    notes = weekly.filter(thin).select("symbol").distinct().withColumn("note", F.lit(WEEKLY_NOTE))
+    return kept.unionByName(chosen.select(*BAR)), notes
 
 
 def period_start(interval: Column, as_of: Column, days: int) -> Column:

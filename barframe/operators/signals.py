@@ -141,8 +141,12 @@ def add_trade_triggers(df: DataFrame) -> DataFrame:
     )
 
 
+def _too_short(analysis: DataFrame) -> str:
+    return "n_bars < 20" if "n_bars" in analysis.columns else "false"
+
+
 def add_behavior(analysis: DataFrame) -> DataFrame:
-    """Big-money behaviour: struct(behavior, confidence, description)."""
+    """Big-money behaviour: struct(behavior, confidence, description); unknown for a series under 20 bars."""
 
     def found(name: str, confidence: float, text: str) -> str:
         return (
@@ -154,7 +158,7 @@ def add_behavior(analysis: DataFrame) -> DataFrame:
     quiet = "abs(change) < 2D and vol_ratio > 0.8D and vol_ratio < 1.5D and cmf > 0.05D"
     return analysis.selectExpr(
         "*",
-        "case"
+        f"case when {_too_short(analysis)} then {found('unknown', 0.0, 'insufficient data')}"
         f" when {quiet} and {held}"
         f" then {found('accumulation', 0.7, 'quiet price and mild inflow')}"
         f" when change < 0 and vol_ratio < 0.8D and cmf > -0.1D and {held}"
@@ -173,7 +177,7 @@ def add_dip_entry(analysis: DataFrame) -> DataFrame:
 
     Reads ``atr_mult`` of the row's trade mode.
     """
-    near = "(price - support) / price * 100D"
+    near, short = "(price - support) / price * 100D", _too_short(analysis)
     parts = [
         "if(vol_ratio < 0.8D, 30, -20)",
         "case when _near > 0 and _near < 3D then 30 when _near < 0 then -40 else 10 end",
@@ -192,9 +196,9 @@ def add_dip_entry(analysis: DataFrame) -> DataFrame:
     df = analysis.selectExpr("*", f"{near} as _near", "change > -2D as _mild")
     df = df.selectExpr(
         "*",
-        f"if(_mild, 0, greatest(0, least(100, {' + '.join(parts)}))) as _points",
-        f"if(_mild, 'fall too small', array_join(array_compact(array({', '.join(reasons)})), '；'))"
-        " as _why",
+        f"if({short} or _mild, 0, greatest(0, least(100, {' + '.join(parts)}))) as _points",
+        f"case when {short} then 'insufficient data' when _mild then 'fall too small'"
+        f" else array_join(array_compact(array({', '.join(reasons)})), '；') end as _why",
     )
     grade = "case when _points >= 70 then {} when _points >= 50 then {} else {} end"
     fields = {

@@ -9,6 +9,17 @@ from barframe.functions.tickers import is_six_digit
 from barframe.schema import BAR, DAILY, HOURLY, SERIES, WEEKLY
 
 
+#: A series' bars are dealt over so many parts when they meet a list of series.
+PARTS = 16
+
+
+def of_series(bars: DataFrame, listed: DataFrame) -> DataFrame:
+    """Bars of the listed series. The list is repeated for each part, so a long series is no task of its own."""
+    parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
+    dealt = bars.withColumn("_part", F.pmod(F.xxhash64("ts"), F.lit(PARTS)).cast("int"))
+    return dealt.join(listed.withColumn("_part", parts), [*SERIES, "_part"], "left_semi").drop("_part")
+
+
 def choose_source(
     preferred: DataFrame, requested: DataFrame, fallback: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
@@ -20,12 +31,12 @@ def choose_source(
     """
     wanted = requested.select(*SERIES).distinct()
     no_hourly = is_six_digit("symbol") & (F.col("interval") == HOURLY)
-    first = preferred.select(*BAR).join(wanted, SERIES, "left_semi")
+    first = of_series(preferred.select(*BAR), wanted)
     if fallback is None:
         bars = first.filter(~no_hourly)
         have = bars.groupBy(*SERIES).agg(F.lit(1).alias("rank"))
     else:
-        second = fallback.select(*BAR).filter(~no_hourly).join(wanted, SERIES, "left_semi")
+        second = of_series(fallback.select(*BAR).filter(~no_hourly), wanted)
         # one row per pair and source, so neither source's bars meet in a window
         have = (
             first.groupBy(*SERIES)
@@ -35,7 +46,7 @@ def choose_source(
             .agg(F.min("rank").alias("rank"))
         )
         use_second = have.filter("rank = 2").select(*SERIES)
-        bars = first.unionByName(second.join(use_second, SERIES, "left_semi"))
+        bars = first.unionByName(of_series(second, use_second))
     rank, missing = F.col("rank"), F.col("rank").isNull()
     fell_back = F.lit(fallback is not None) & (missing | (rank == 2))
     notes = F.array_compact(

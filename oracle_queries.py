@@ -440,6 +440,26 @@ DIP = f"""dips AS (
       CASE WHEN cmf > 0 THEN 'CMF positive' ELSE 'CMF negative' END) END AS reason
   FROM analysis)"""
 
+BEHAVIOR = (
+    "SELECT symbol, b AS behavior, CAST(CASE b WHEN 'accumulation' THEN 0.7 WHEN 'washout' THEN 0.75"
+    " WHEN 'markup' THEN 0.85 WHEN 'distribution' THEN 0.8 ELSE 0.5 END AS DOUBLE) AS confidence"
+    " FROM (SELECT symbol, CASE WHEN abs(change) < 2 AND vol_ratio > 0.8 AND vol_ratio < 1.5 AND cmf > 0.05"
+    " AND chip_concentration = 'concentrated' THEN 'accumulation'"
+    " WHEN change < 0 AND vol_ratio < 0.8 AND cmf > -0.1 AND chip_concentration = 'concentrated' THEN 'washout'"
+    " WHEN change > 0 AND vol_ratio > 1.2 AND cmf > 0.1 AND rsi > 50 AND macd_hist > 0 THEN 'markup'"
+    " WHEN vol_ratio > 1.5 AND (abs(change) < 1 OR change < 0) AND cmf < -0.05 AND obv_divergence = 'top'"
+    " THEN 'distribution' ELSE 'watch' END AS b FROM analysis WHERE mode = 'short')"
+)
+DIP_OUT = (
+    "SELECT symbol, mode, CAST(score AS BIGINT) AS score,"
+    " CASE WHEN score >= 70 THEN 'active' WHEN score >= 50 THEN 'cautious' ELSE 'none' END AS action, reason,"
+    " CAST(CASE WHEN score >= 70 THEN 0.05 WHEN score >= 50 THEN 0.02 ELSE 0 END AS DOUBLE) AS suggested_position,"
+    " round(CASE WHEN score >= 70 THEN price - m * atr WHEN score >= 50 THEN price - m * atr * 0.8 END, 4) AS stop_loss,"
+    " round(CASE WHEN score >= 70 THEN price + m * atr * 1.5 WHEN score >= 50 THEN price + m * atr * 1.2 END, 4) AS target"
+    " FROM dips"
+)
+EARLY = record((f"{F2},\nearly AS (FROM f2 WHERE ts < TIMESTAMP '1995-03-01')", "early"))
+
 # --- across intervals -------------------------------------------------------------
 
 COMPOSITE_WEIGHTS = """views AS (SELECT * FROM (VALUES ('ultra_short', 0.3, 0.0, 0.7, false, true),
@@ -631,24 +651,16 @@ ORACLES = {
         " WHEN 'watch' THEN 'wait for a breakout or a key level'"
         " ELSE 'defend, take little part' END AS advice FROM analysis"
     ),
-    "behavior": analysis(
-        "SELECT symbol, b AS behavior, CAST(CASE b WHEN 'accumulation' THEN 0.7 WHEN 'washout' THEN 0.75"
-        " WHEN 'markup' THEN 0.85 WHEN 'distribution' THEN 0.8 ELSE 0.5 END AS DOUBLE) AS confidence"
-        " FROM (SELECT symbol, CASE WHEN abs(change) < 2 AND vol_ratio > 0.8 AND vol_ratio < 1.5 AND cmf > 0.05"
-        " AND chip_concentration = 'concentrated' THEN 'accumulation'"
-        " WHEN change < 0 AND vol_ratio < 0.8 AND cmf > -0.1 AND chip_concentration = 'concentrated' THEN 'washout'"
-        " WHEN change > 0 AND vol_ratio > 1.2 AND cmf > 0.1 AND rsi > 50 AND macd_hist > 0 THEN 'markup'"
-        " WHEN vol_ratio > 1.5 AND (abs(change) < 1 OR change < 0) AND cmf < -0.05 AND obv_divergence = 'top'"
-        " THEN 'distribution' ELSE 'watch' END AS b FROM analysis WHERE mode = 'short')"
-    ),
-    "dip_entry": query(
-        [*record(), *ANALYSIS, DIP],
-        "SELECT symbol, mode, CAST(score AS BIGINT) AS score,"
-        " CASE WHEN score >= 70 THEN 'active' WHEN score >= 50 THEN 'cautious' ELSE 'none' END AS action, reason,"
-        " CAST(CASE WHEN score >= 70 THEN 0.05 WHEN score >= 50 THEN 0.02 ELSE 0 END AS DOUBLE) AS suggested_position,"
-        " round(CASE WHEN score >= 70 THEN price - m * atr WHEN score >= 50 THEN price - m * atr * 0.8 END, 4) AS stop_loss,"
-        " round(CASE WHEN score >= 70 THEN price + m * atr * 1.5 WHEN score >= 50 THEN price + m * atr * 1.2 END, 4) AS target"
-        " FROM dips",
+    "behavior": analysis(BEHAVIOR),
+    "behavior_short": query(
+        [*EARLY, *ANALYSIS],
+        f"{BEHAVIOR} UNION ALL SELECT symbol, 'unknown', CAST(0 AS DOUBLE) FROM panel WHERE pos = n_bars AND n_bars < 20",
+    ),
+    "dip_entry": query([*record(), *ANALYSIS, DIP], DIP_OUT),
+    "dip_entry_short": query(
+        [*EARLY, *ANALYSIS, DIP],
+        f"{DIP_OUT} UNION ALL SELECT symbol, mode, 0, 'none', 'insufficient data', CAST(0 AS DOUBLE), NULL, NULL"
+        " FROM panel CROSS JOIN modes WHERE pos = n_bars AND n_bars < 20",
     ),
     "composite": query(
         [
