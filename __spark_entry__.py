@@ -301,9 +301,27 @@ def q_hourly_chart_feed(spark, d):
 
 
 def q_report_context(spark, d):
-    """Of event types, whose news bear the same symbols."""
+    """Of event types, whose news bear the same symbols; fields read back from the text."""
     history = _history(spark, d, lambda spark, d: fx.event_bars(spark, d, DAILY))
-    return out.report_context(analyze(history, MODES), news=latest_news(fx.event_news(spark, d)))
+    context = out.report_context(analyze(history, MODES), news=latest_news(fx.event_news(spark, d)))
+    whole = ("total_score",)
+    doubles = ("price", "stop_loss", "take_profit")
+
+    def field(path: str):
+        return F.get_json_object("context", f"$.{path}")
+
+    return shown(
+        context.select(
+            "symbol",
+            "mode",
+            *[field(f"analysis.{c}").alias(c) for c in ("trend", "status", "rsi_status")],
+            *[field(f"analysis.{c}").cast("bigint").alias(c) for c in whole],
+            *[field(f"analysis.{c}").cast("double").alias(c) for c in doubles],
+            F.json_array_length(field("news")).alias("n_news"),
+            field("news[0].title").alias("first_title"),
+            field("news[0].time").alias("first_time"),
+        )
+    )
 
 
 def q_top_scores(spark, d):

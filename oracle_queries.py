@@ -781,6 +781,15 @@ FROM panel p LEFT JOIN full_record f USING (symbol, interval) WHERE p.pos > p.n_
         f"SELECT symbol, {TS}, {OHLCV}, round(ma5, 4) AS ma5, round(ma20, 4) AS ma20, {CHART}"
         " FROM panel WHERE pos > n_bars - 200",
     ),
+    "report_context": query(
+        [*record((F3D, "f3d")), *ANALYSIS],
+        "SELECT a.symbol, mode, trend, status, rsi_status, CAST(total_score AS BIGINT) AS total_score,"
+        f" {', '.join(R.format(c) for c in ('price', 'stop_loss', 'take_profit'))}, n_news, first_title, first_time"
+        " FROM analysis a LEFT JOIN (SELECT event_type AS symbol, least(n, 5) AS n_news, props AS first_title,"
+        " strftime(ts, '%Y-%m-%d %H:%M') AS first_time FROM (SELECT *,"
+        " row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id) AS k,"
+        " count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE k = 1) i ON i.symbol = a.symbol",
+    ),
     "top_scores": query(
         panel([F1], "f1", KEEP),
         f"SELECT symbol, interval, {TS}, round(close, 4) AS close, {SCORE} AS score, n_bars"

@@ -3,8 +3,10 @@
 import pytest
 
 from barframe.operators.analysis import analyze
+from barframe.operators.cross import composite, scores_by_interval
 from barframe.operators.indicators import full_history, latest_history
-from barframe.schema import BAR_SCHEMA, bars_kept
+from barframe.operators.resample import with_weekly_fallback
+from barframe.schema import BAR_SCHEMA, VIEWS, bars_kept
 from tests import series_data as sd
 
 
@@ -54,3 +56,17 @@ def test_long_history_windows_are_keyed_by_segment(spark, bars):
     whole = [line for line in windows if ", seg#" not in line]
     assert len(windows) - len(whole) >= 5
     assert all(any(c in line for c in ("cnt#", "slot#", "opens#", "bucket#")) for line in whole), whole
+
+
+def test_views_share_one_set_of_windows(spark, bars):
+    scores = scores_by_interval(latest_history(bars, bars_kept("1y")))
+    all_views, one = plan(spark, composite(scores, list(VIEWS))), plan(spark, composite(scores, "short"))
+    for node in ("Window [", "Exchange", "FileScan"):
+        assert all_views.count(node) == one.count(node) > 0, node
+
+
+def test_weekly_fallback_joins_no_bars(spark, bars):
+    text = plan(spark, with_weekly_fallback(bars)[0])
+    assert "Join" not in text
+    # daily bars by symbol and week, then weekly rows by symbol
+    assert text.count("Exchange hashpartitioning") == 2
