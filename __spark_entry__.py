@@ -20,7 +20,7 @@ from barframe.operators.news import latest_news
 from barframe.operators.resample import weekly_from_daily, with_weekly_fallback
 from barframe.operators.scoring import add_score
 from barframe.operators.series import tail_bars
-from barframe.plans.insight import top_scores
+from barframe.plans.insight import deep_insight, top_scores
 from barframe.schema import BAR, DAILY, HOURLY, TRADE_MODES, VIEWS, bars_kept
 from barframe.sources.fallback import choose_source, instrument_info, merge_notes
 from barframe.sources.readers import scan_window
@@ -245,6 +245,30 @@ def q_composite(spark, d):
     return shown(composite(scores_by_interval(history), list(VIEWS)))
 
 
+INSIGHT_MODES = {"ultra_short": "ultra_short", "short": "short", "mid_long": "trend"}
+
+
+def _insight(view: str) -> Query:
+    """The whole flow for every symbol with daily bars: record, signals, blended score and note."""
+
+    def query(spark, d):
+        info = fx.supplier_codes(spark, d).select("symbol", "pe", "pb")
+        out = deep_insight(fx.mixed_bars(spark, d), view, INSIGHT_MODES[view], instruments=info)
+        return shown(
+            out.latest.join(out.notes, "symbol", "left").selectExpr(
+                *"symbol view mode ts total_score status trend price stop_loss take_profit".split(),
+                "behavior.behavior as behavior",
+                "dip.score as dip_score",
+                "dip.action as dip_action",
+                "triggers",
+                "transform(structured_signals, s -> s.name) as signals",
+                *"score_daily score_weekly score_hourly composite_score note".split(),
+            )
+        )
+
+    return query
+
+
 def q_sector_heatmap(spark, d):
     return shown(sector_heatmap(fx.supplier_daily(spark, d), fx.nation_sectors(spark, d)))
 
@@ -262,8 +286,16 @@ def q_fundamental_ttm(spark, d):
 
 def q_fundamental_reported(spark, d):
     lines = fund.statement_lines(fx.supplier_statements(spark, d))
-    reports = lines.select("symbol", F.col("period_end").alias("period"), "revenue", "net_income")
-    return shown(fund.reported_figures(reports), "symbol", "period_end", "revenue", "net_income")
+    share = "try_divide({}, {}) * 100D as {}"  # there is no gross margin: it comes out null
+    reports = lines.selectExpr(
+        "symbol",
+        "period_end as period",
+        "revenue",
+        "net_income",
+        share.format("net_income", "equity", "roe"),
+        share.format("liabilities", "assets", "debt_ratio"),
+    )
+    return shown(fund.reported_figures(reports))
 
 
 def q_fundamental_summary(spark, d):
@@ -392,6 +424,7 @@ def queries() -> dict[str, Query]:
         "dip_entry_short": q_dip_entry_short,
         "composite": q_composite,
         "sector_heatmap": q_sector_heatmap,
+        **{f"insight_{view}": _insight(view) for view in VIEWS},
         "fundamental_ttm": q_fundamental_ttm,
         "fundamental_reported": q_fundamental_reported,
         "fundamental_summary": q_fundamental_summary,

@@ -250,7 +250,18 @@ def analyze(
     symbol. With ``short_series`` shorter series have a row too and a column ``n_bars`` is added, by which
     ``signals.add_behavior`` and ``signals.add_dip_entry`` say that there is not enough data.
     """
-    df = pattern_record(history, 1 if short_series else MIN_BARS).withColumn("change", F.expr(CHANGE))
+    rows = pattern_record(history, 1 if short_series else MIN_BARS)
+    return analyze_rows(rows, modes, instruments, ["n_bars"] if short_series else [])
+
+
+def analyze_rows(
+    rows: DataFrame,
+    modes: list[str] | None = None,
+    instruments: DataFrame | None = None,
+    carried: list[str] | None = None,
+) -> DataFrame:
+    """The record of ``pattern_record``'s rows; ``carried`` names columns of theirs that stay."""
+    df = rows.withColumn("change", F.expr(CHANGE))
     kept = [c for c in df.columns if c not in SNAPSHOT and not c.startswith("known_")]
     # every right-hand side reads the columns as they were, so the order is of no matter
     df = df.selectExpr(*kept, "close as price", *[f"{sql} as {c}" for c, sql in SNAPSHOT.items()])
@@ -259,4 +270,4 @@ def analyze(
     else:
         df = df.join(instruments.select("symbol", "pe", "pb"), "symbol", "left")
     df = with_modes(df, modes or [DEFAULT_MODE])
-    return _status(_risk(_classes(df))).select(*RECORD, *(["n_bars"] if short_series else []))
+    return _status(_risk(_classes(df))).select(*RECORD, *(carried or []))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from barframe.operators.indicators import latest_history
@@ -17,12 +17,12 @@ def last_bars(history: DataFrame) -> DataFrame:
     return history.filter(F.col("pos") == F.col("n_bars"))
 
 
-def scores_by_interval(history: DataFrame) -> DataFrame:
-    """One row per symbol: score, availability and a few last values for each interval."""
-    scored = add_score(last_bars(history))
+def _interval_columns(over: WindowSpec | None = None) -> list[Column]:
+    """Score, availability and a few last values for each interval, over a symbol's scored last bars."""
 
-    def pick(interval: str, column: str):
-        return F.max(F.when(F.col("interval") == interval, F.col(column)))
+    def pick(interval: str, column: str) -> Column:
+        found = F.max(F.when(F.col("interval") == interval, F.col(column)))
+        return found if over is None else found.over(over)
 
     columns = []
     for interval, name in ((DAILY, "daily"), (WEEKLY, "weekly"), (HOURLY, "hourly")):
@@ -33,13 +33,25 @@ def scores_by_interval(history: DataFrame) -> DataFrame:
         ("weekly", WEEKLY, ("close", "rsi", "macd_hist", "ma20")),
     ):
         columns += [pick(interval, f).alias(f"{name}_{f}") for f in fields]
-    return scored.groupBy("symbol").agg(*columns)
+    return columns
+
+
+def scores_by_interval(history: DataFrame) -> DataFrame:
+    """One row per symbol: score, availability and a few last values for each interval."""
+    return add_score(last_bars(history)).groupBy("symbol").agg(*_interval_columns())
+
+
+def with_interval_scores(scored: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Scored last bars, three a symbol at most, each with its symbol's ``scores_by_interval``; the names added."""
+    out = scored.select("*", *_interval_columns(Window.partitionBy("symbol")))
+    return out, out.columns[len(scored.columns) :]
 
 
-def composite(by_interval: DataFrame, views: str | list[str]) -> DataFrame:
+def composite(by_interval: DataFrame, views: str | list[str], carried: list[str] | None = None) -> DataFrame:
     """Weighted mean of the interval scores a view uses, over those with enough bars; a row per symbol and view.
 
-    A view that asks for hourly bars and lacks them falls back to daily alone.
+    A view that asks for hourly bars and lacks them falls back to daily alone. ``carried`` names
+    columns that stay.
     """
 
     def row(view: str) -> str:
@@ -72,6 +84,7 @@ def composite(by_interval: DataFrame, views: str | list[str]) -> DataFrame:
     return df.selectExpr(
         "symbol",
         "_v.view as view",
+        *(carried or []),
         *[f"if({a}, score_{n}, null) as score_{n}" for a, n in parts],
         "w_daily",
         "w_weekly",

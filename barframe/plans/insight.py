@@ -6,8 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 
-from barframe.operators.analysis import analyze
-from barframe.operators.cross import composite, last_bars, scores_by_interval
+from barframe.operators.analysis import MIN_BARS, RECORD, analyze_rows, pattern_record
+from barframe.operators.cross import composite, last_bars, scores_by_interval, with_interval_scores
 from barframe.operators.indicators import latest_history
 from barframe.operators.resample import with_weekly_fallback
 from barframe.operators.scoring import add_score
@@ -26,6 +26,7 @@ class Insight:
     """Lazy result tables; nothing runs until one is used."""
 
     history: DataFrame
+    latest: DataFrame
     analysis: DataFrame
     signals: DataFrame
     composite: DataFrame
@@ -47,12 +48,24 @@ def deep_insight(
     bars, notes = with_weekly_fallback(bars)
     # hourly bars keep 320 whatever the period
     history = latest_history(bars, bars_kept(period))
-    daily = history.filter(f"interval = '{DAILY}'")
-    analysis = add_dip_entry(add_behavior(analyze(daily, [mode], instruments)))
-    signals = add_trade_triggers(add_structured_signals(last_bars(daily))).select(
-        "symbol", "interval", "ts", "structured_signals", "triggers"
-    )
-    return Insight(history, analysis, signals, composite(scores_by_interval(history), view), notes)
+    latest = _latest(history, view, mode, instruments)
+    analysis = latest.filter(f"n_bars >= {MIN_BARS}").select(*RECORD, "behavior", "dip")
+    signals = latest.select("symbol", "interval", "ts", "structured_signals", "triggers")
+    return Insight(history, latest, analysis, signals, composite(scores_by_interval(history), view), notes)
+
+
+def _latest(history: DataFrame, view: str, mode: str, instruments: DataFrame | None) -> DataFrame:
+    """All of it in one row for each symbol that has daily bars, from one pass over the last bars.
+
+    A symbol's intervals, one row each by then, meet in a window over the symbol.
+    """
+    signals = ["structured_signals", "triggers"]
+    rows = add_trade_triggers(add_structured_signals(pattern_record(history, 1)))
+    rows, scores = with_interval_scores(add_score(rows))
+    daily = rows.filter(f"interval = '{DAILY}'")
+    record = analyze_rows(daily, [mode], instruments, ["n_bars", *signals, *scores])
+    told = add_dip_entry(add_behavior(record))
+    return composite(told, view, [c for c in told.columns if c not in ("symbol", *scores)])
 
 
 def top_scores(bars: DataFrame, period: str = "1y", n: int = 10) -> DataFrame:

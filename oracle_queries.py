@@ -468,11 +468,11 @@ COMPOSITE = f"""scored AS (SELECT *, {SCORE} AS score FROM panel WHERE pos = n_b
 wide AS (
   SELECT symbol, {", ".join(f"max({c}) FILTER (interval = '{i}') AS {n}_{c}" for n, i in (("d", "1d"), ("w", "1wk"), ("h", "60m")) for c in ("score", "n_bars", "close", "rsi", "macd_hist", "vol_ratio", "ma20"))}
   FROM scored GROUP BY symbol),
-placed AS (
+offered AS (
   SELECT *, coalesce(d_n_bars >= 20, false) AS d, uses_w AND coalesce(w_n_bars >= 20, false) AS w,
     uses_h AND coalesce(h_n_bars >= 20, false) AS h FROM wide CROSS JOIN views),
 weighted AS (
-  SELECT *, CASE WHEN uses_h AND NOT h THEN 1.0 ELSE wd0 END AS wd, CASE WHEN uses_h AND NOT h THEN 0.0 ELSE wh0 END AS wh FROM placed),
+  SELECT *, CASE WHEN uses_h AND NOT h THEN 1.0 ELSE wd0 END AS wd, CASE WHEN uses_h AND NOT h THEN 0.0 ELSE wh0 END AS wh FROM offered),
 summed AS (
   SELECT *, CAST(d AS INT) * wd + CAST(w AS INT) * ww + CAST(h AS INT) * wh AS ws,
     CASE WHEN d THEN d_score * wd ELSE 0 END + CASE WHEN w THEN w_score * ww ELSE 0 END + CASE WHEN h THEN h_score * wh ELSE 0 END AS pts,
@@ -482,6 +482,36 @@ summed AS (
 THIN = """thin AS (SELECT symbol FROM {0} GROUP BY symbol
   HAVING count(*) FILTER (interval = '1wk') < 20 AND count(*) FILTER (interval = '1d') >= 80)"""
 
+
+def _insight(view: str, mode: str, daily: int, weeks: int) -> str:
+    """Record, behaviour, dip, signals, blended score and note of the daily bars of each symbol."""
+    keep = f"CASE interval WHEN '1d' THEN {daily} WHEN '1wk' THEN {weeks} ELSE 320 END"
+    last = "pos = n_bars AND n_bars >= 20 AND interval = '1d'"
+    bars = [
+        *MIXED,
+        THIN.format("mixed"),
+        weekly("(FROM mixed WHERE interval = '1d' AND symbol IN (FROM thin))", "w"),
+        "daily_weekly AS (FROM mixed UNION ALL FROM w)",
+    ]
+    dips = DIP.replace("FROM analysis)", "FROM analysis WHERE interval = '1d')")
+    behavior = BEHAVIOR.replace("mode = 'short'", "mode = 'short' AND interval = '1d'")
+    signals = STRUCTURED.replace("pos >= 3 AND n_bars >= 20", last)
+    return query(
+        [*panel(bars, "daily_weekly", keep), *LATEST, *ANALYSIS, dips, COMPOSITE_WEIGHTS, COMPOSITE],
+        f"""SELECT a.symbol, s.view, a.mode, {TS}, CAST(total_score AS BIGINT) AS total_score, status, trend,
+  {", ".join(R.format(c) for c in ("price", "stop_loss", "take_profit"))}, b.behavior, d.score AS dip_score, d.action AS dip_action,
+  t.triggers, g.signals, CASE WHEN s.d THEN d_score END AS score_daily, CASE WHEN s.w THEN w_score END AS score_weekly,
+  CASE WHEN s.h THEN h_score END AS score_hourly,
+  round(CAST(coalesce(CASE WHEN ws > 0 THEN pts / ws END, plain / nullif(s.n, 0), 0) AS DOUBLE), 4) AS composite_score,
+  CASE WHEN a.symbol IN (FROM thin) THEN 'weekly bars resampled from daily' END AS note
+FROM analysis a JOIN ({behavior}) b USING (symbol)
+JOIN (SELECT symbol, mode, score, action FROM ({DIP_OUT})) d USING (symbol, mode)
+JOIN (SELECT symbol, {TRIGGERS} AS triggers FROM panel WHERE {last}) t USING (symbol)
+JOIN (SELECT symbol, string_agg(name, '|' ORDER BY place) AS signals FROM ({signals}) GROUP BY symbol) g USING (symbol)
+JOIN summed s ON s.symbol = a.symbol AND s.view = '{view}' WHERE a.interval = '1d' AND a.mode = '{mode}'""",
+    )
+
+
 # --- fundamentals -----------------------------------------------------------------
 
 CENTS = "CAST(round(l_extendedprice * 100) AS BIGINT)"
@@ -692,6 +722,9 @@ ORACLES = {
         )
         + " FROM summed",
     ),
+    "insight_ultra_short": _insight("ultra_short", "ultra_short", 50, 52),
+    "insight_short": _insight("short", "short", 110, 52),
+    "insight_mid_long": _insight("mid_long", "trend", 272, 60),
     "sector_heatmap": query(
         panel([F1], "f1", "50"),
         f"""SELECT n_name AS sector, CAST(k AS VARCHAR) AS code, coalesce(score, 0) AS score,
@@ -710,7 +743,8 @@ LEFT JOIN (SELECT symbol, n_bars, {SCORE} AS score, CASE WHEN close > ma20 AND m
     "fundamental_reported": query(
         [STATEMENTS],
         "SELECT symbol, strftime(period_end, '%Y-%m-%d') AS period_end, round(revenue, 4) AS revenue,"
-        " round(net_income, 4) AS net_income FROM (SELECT *, row_number() OVER (PARTITION BY symbol"
+        " round(net_income, 4) AS net_income, round(net_income / nullif(equity, 0) * 100, 4) AS roe,"
+        " CAST(NULL AS DOUBLE) AS gross_margin, round(liabilities / nullif(assets, 0) * 100, 4) AS debt_ratio FROM (SELECT *, row_number() OVER (PARTITION BY symbol"
         " ORDER BY period_end DESC) AS back FROM lines) WHERE back <= 4",
     ),
     "fundamental_summary": query(

@@ -29,9 +29,11 @@ NAMES = [
     "dip_entry_short",
     "behavior_short",
     "composite",
+    "insight_short",
     "sector_heatmap",
     "fundamental_ttm",
     "fundamental_summary",
+    "fundamental_reported",
     "news_top5",
     "score_vector",
     "chart_feed",

@@ -6,6 +6,7 @@ from barframe.operators.analysis import analyze
 from barframe.operators.cross import composite, scores_by_interval
 from barframe.operators.indicators import full_history, latest_history
 from barframe.operators.resample import with_weekly_fallback
+from barframe.plans.insight import deep_insight
 from barframe.schema import BAR_SCHEMA, VIEWS, bars_kept
 from tests import series_data as sd
 
@@ -70,3 +71,12 @@ def test_weekly_fallback_joins_no_bars(spark, bars):
     assert "Join" not in text
     # daily bars by symbol and week, then weekly rows by symbol
     assert text.count("Exchange hashpartitioning") == 2
+
+
+def test_insight_reads_the_bars_once(spark, bars):
+    """No more scans than the bars and their weekly rollup need, and one more exchange than the analysis."""
+    text, bare = plan(spark, deep_insight(bars).latest), plan(spark, with_weekly_fallback(bars)[0])
+    assert text.count("FileScan") == bare.count("FileScan") > 0
+    alone = plan(spark, analyze(latest_history(with_weekly_fallback(bars)[0], bars_kept("3mo"))))
+    assert text.count("Exchange hashpartitioning") == alone.count("Exchange hashpartitioning") + 1
+    assert text.count("Window [") > 0 and "Join" not in text

@@ -313,6 +313,13 @@ def test_deep_insight(spark):
     assert row.mode == "swing" and row.dip.action in ("active", "cautious", "none")
     assert out.composite.first()["view"] == "short"
     assert out.signals.count() == 1 and out.notes.first().symbol == "a"
+    whole, blended = out.latest.first(), out.composite.first()
+    assert whole.total_score == row.total_score and whole.dip == row.dip
+    assert {c: whole[c] for c in out.composite.columns} == blended.asDict()
+    # a series under 20 bars has a row, but no analysis
+    short = deep_insight(spark.createDataFrame(sd.bars("b", sd.walk(12, 3)), BAR_SCHEMA))
+    assert short.analysis.count() == 0
+    assert short.latest.first().behavior.behavior == "unknown" and short.latest.first().triggers == []
 
 
 def test_fundamentals(spark):
