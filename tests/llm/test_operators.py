@@ -402,3 +402,26 @@ def test_pipeline(spark, texts):
     count = Counter(r["doc_id"] for r in mixed.collect())
     packed = corpus_pipeline.run(spark, SF).collect()
     assert Counter(r["doc_id"] for r in packed if r["piece"] == 0) == count
+
+
+def test_secrets_without_quotes(spark):
+    assert not set(secret_scan.CONTEXT) & set(secret_scan.FEATURES)
+    hexes = [hashlib.sha1(bytes([i, 7])).hexdigest() for i in range(120)]
+    forms = [
+        lambda i: f"export API_KEY={hexes[i]}\nwith thewordsofthecorpus here",
+        lambda i: f"Authorization: Bearer {hexes[i]} and theotherwordsofthecorpus go",
+        lambda i: f"db_password: p@ss!w0rd#{i:03d}\nwith thewordsofthecorpus here",
+        lambda i: f"a log line with {hexes[i]} and theotherwordsofthecorpus go",
+    ]
+    secrets = [lambda i: hexes[i], lambda i: hexes[i], lambda i: f"p@ss!w0rd#{i:03d}", lambda i: hexes[i]]
+    df = spark.createDataFrame([(i, forms[i % 4](i), "a/b") for i in range(120)], "doc_id long, text string, source string")
+    found = {(r["id"], r["candidate"]): r for r in secret_scan.scan(df).collect()}
+    words = {r["candidate"] for r in found.values()} & {"thewordsofthecorpus", "theotherwordsofthecorpus"}
+    assert len(words) == 2
+    for i in range(120):
+        r = found.pop((i, secrets[i % 4](i)))
+        assert r["score"] >= 0.5 and forms[i % 4](i)[r["start"] :].startswith(r["candidate"]), r
+    assert len(found) == 120 and all(r["candidate"] in words and r["score"] < 0.5 for r in found.values())
+    # no label at all: nothing is called clean
+    alone = spark.createDataFrame([(1, f"seen {hexes[0]} here", "a")], "doc_id long, text string, source string")
+    assert [r["score"] for r in secret_scan.scan(alone).collect()] == [0.5]
