@@ -88,7 +88,7 @@ FROM documents WINDOW copies AS (PARTITION BY coalesce(text, ''))
 
 
 def op6_line_dedup(spark: SparkSession, d: str) -> DataFrame:
-    cleaned = line_dedup.without_repeated_lines(table(spark, d, "documents"))
+    cleaned = line_dedup.without_repeated_lines(table(spark, d, "documents"), smallest=4)
     return cleaned.select(
         F.col("id").alias("doc_id"), "lines", "dropped", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "text"
     )

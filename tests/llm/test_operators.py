@@ -425,3 +425,22 @@ def test_secrets_without_quotes(spark):
     # no label at all: nothing is called clean
     alone = spark.createDataFrame([(1, f"seen {hexes[0]} here", "a")], "doc_id long, text string, source string")
     assert [r["score"] for r in secret_scan.scan(alone).collect()] == [0.5]
+
+
+def test_lines_with_one_other_letter_are_found(spark, tmp_path):
+    """Of pairs of lines that differ in one letter, so by edit similarity alone, nearly all lose their second line."""
+    rng = np.random.default_rng(11)
+    vocabulary = ["".join(chr(97 + int(c)) for c in rng.integers(0, 26, rng.integers(3, 9))) for _ in range(400)]
+    rows, length = [], {}
+    for n in (5, 8, 15, 25, 35, 45, 60):
+        for _ in range(20):
+            words = [vocabulary[int(k)] for k in rng.integers(0, 400, n)]
+            at = int(rng.integers(0, n))
+            other = [*words[:at], words[at][:1] + "é" + words[at][2:], *words[at + 1 :]]
+            length[len(rows) + 1] = n
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    dropped = {r["doc_id"]: r["dropped"] for r in queries.op6_line_dedup(spark, str(tmp_path)).collect()}
+    for n in sorted(set(length.values())):
+        assert sum(dropped[i] for i, k in length.items() if k == n) >= 18, n
+    assert sum(dropped.values()) == sum(dropped[i] for i in length)
