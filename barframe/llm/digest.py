@@ -3,15 +3,17 @@
 Every window of WIDTH bytes has an entropy. How often each entropy value occurs over all windows of all
 documents is counted first; the rarer a window's value, the better its rank. A window is a
 feature if it has the best rank (of equals the first) in at least POPULAR of the runs of RUN windows
-that hold it. Features in text order fill Bloom filters of FILTER bits, with at most FULL features each; the chain of
+that hold it. Short texts have features of narrower windows and shorter runs, by SCALES; the lengths of
+neighbouring scales overlap, so that a text and its edited form have at least one scale in common. Each width is
+ranked over all documents. Features by scale and in text order fill Bloom filters of FILTER bits, with at most FULL features each; the chain of
 filters is the fingerprint, in base64.
 
 The likeness of two fingerprints is the mean, over the filters of the shorter chain, of the best overlap
 with a filter of the other: common bits beyond those that chance would give, as a share of the most that
 could be. Equal fingerprints have likeness 1; a chain without features and one with, 0.
 
-Null texts count as empty; an empty text has an empty fingerprint. A text of fewer than WIDTH bytes is one feature.
-A text without popular windows has the best-ranked one. Extra columns are not read; an empty table gives no rows.
+Null texts count as empty; an empty text has an empty fingerprint. A text of fewer bytes than the narrowest window is one feature.
+A scale without popular windows has the best-ranked one. Extra columns are not read; an empty table gives no rows.
 
 For texts with a neighbour: documents go in order of descending id (null ids last, equal ids by
 text hash, equal rows in any order), in ranges cut at quantiles of the id; each range gets a copy of the
@@ -39,32 +41,44 @@ POPULAR = 16
 FILTER = 2048
 FULL = 160
 HASHES = 5
+#: Width of windows, run, and the lengths of texts in bytes, from and to, that have features of it. A run is a fourth of
+#: the windows at most, and a fourth of the run makes a window popular.
+SCALES = ((4, 4, 4, 64), (16, 8, 32, 600), (WIDTH, RUN, 300, None))
 #: Entropy values are kept in so many steps from 0 to the most that a window can have.
 LEVELS = 1000
 #: Texts are worked on in parts of so many bytes, with overlaps.
 PART = 1 << 20
 
+#: Widths up to this count equal bytes by comparing all neighbours.
+_NARROW = 16
 _COUNT = np.arange(WIDTH + 1, dtype=np.float64)
 #: What the k-th equal byte adds to the sum of k * log2(k).
 _GAIN = np.diff(_COUNT * np.log2(np.maximum(_COUNT, 1)), prepend=0.0)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _levels(data: np.ndarray) -> np.ndarray:
+def _levels(data: np.ndarray, width: int = WIDTH) -> np.ndarray:
     """The entropy level of every window, by what leaves and what enters as it slides."""
     n = len(data)
-    order = np.argsort(data, kind="stable")
-    key = data[order].astype(np.int64) * (2 * n + 4 * WIDTH) + order
-    place = np.arange(n)
-    before, after = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
-    # equal bytes among the last WIDTH, and among the next WIDTH, the byte itself included
-    before[order] = place - np.searchsorted(key, key - WIDTH + 1) + 1
-    after[order] = np.searchsorted(key, key + WIDTH) - place
+    # equal bytes among the last width, and among the next width, the byte itself included
+    if width <= _NARROW:
+        before, after = np.ones(n, dtype=np.uint8), np.ones(n, dtype=np.uint8)
+        for k in range(1, min(width, n)):
+            equal = data[k:] == data[:-k]
+            before[k:] += equal
+            after[:-k] += equal
+    else:
+        order = np.argsort(data, kind="stable")
+        key = data[order].astype(np.int64) * (2 * n + 4 * width) + order
+        place = np.arange(n)
+        before, after = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
+        before[order] = place - np.searchsorted(key, key - width + 1) + 1
+        after[order] = np.searchsorted(key, key + width) - place
     change = _GAIN[before]
-    change[WIDTH:] -= _GAIN[after[: n - WIDTH]]
-    total = np.cumsum(change)[WIDTH - 1 :]
-    entropy = np.log2(WIDTH) - total / WIDTH
-    return np.clip(np.rint(entropy * (LEVELS / np.log2(WIDTH))), 0, LEVELS).astype(np.int64)
+    change[width:] -= _GAIN[after[: n - width]]
+    total = np.cumsum(change)[width - 1 :]
+    entropy = np.log2(width) - total / width
+    return np.clip(np.rint(entropy * (LEVELS / np.log2(width))), 0, LEVELS).astype(np.int64)
 
 
 def _parts(data: np.ndarray, overlap: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -73,34 +87,34 @@ def _parts(data: np.ndarray, overlap: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def level_counts(data: np.ndarray) -> np.ndarray:
-    """How many windows of the text have each level."""
-    found = np.zeros(LEVELS + 1, dtype=np.int64)
-    if len(data) >= WIDTH:
-        for _, part in _parts(data, WIDTH - 1):
-            if len(part) >= WIDTH:
-                found += np.bincount(_levels(part), minlength=LEVELS + 1)
+    """How many windows of the text have each level, by scale."""
+    found = np.zeros((len(SCALES), LEVELS + 1), dtype=np.int64)
+    for row, (width, *_) in zip(found, SCALES):
+        for _, part in _parts(data, width - 1):
+            if len(part) >= width:
+                row += np.bincount(_levels(part, width), minlength=LEVELS + 1)
     return found
 
 
 def ranks(counts: np.ndarray) -> np.ndarray:
-    """0 for the rarest level; levels that never occurred are the rarest, of equals the lower."""
+    """0 for the rarest level of a scale; levels that never occurred are the rarest, of equals the lower."""
     out = np.empty(len(counts), dtype=np.int64)
     out[np.lexsort((np.arange(len(counts)), counts))] = np.arange(len(counts))
     return out
 
 
-def _popular(rank: np.ndarray) -> np.ndarray:
-    """Places of the windows that win at least POPULAR runs; the best one if none does."""
+def _popular(rank: np.ndarray, run: int = RUN, popular: int = POPULAR) -> np.ndarray:
+    """Places of the windows that win at least that many runs; the best one if none does."""
     n = len(rank)
     key = rank * n + np.arange(n)
-    runs = max(1, n - RUN + 1)
+    runs = max(1, n - run + 1)
     best, have = key, 1
-    while have < min(RUN, n):
-        step = min(have, min(RUN, n) - have)
+    while have < min(run, n):
+        step = min(have, min(run, n) - have)
         best = np.minimum(best[: len(best) - step], best[step:])
         have += step
     wins = np.bincount(best[:runs] % n, minlength=n)
-    found = np.nonzero(wins >= POPULAR)[0]
+    found = np.nonzero(wins >= popular)[0]
     return found if len(found) else np.array([int(key.argmin() % n)])
 
 
@@ -118,17 +132,20 @@ def _feature_hashes(data: np.ndarray, rank_of: np.ndarray) -> np.ndarray:
     """Hashes of the features in text order."""
     if not len(data):
         return np.empty(0, dtype=np.uint64)
-    if len(data) < WIDTH:
+    if len(data) < SCALES[0][0]:
         return _mixed(np.array([np.sum((data.astype(np.uint64) + np.uint64(1)) * _POWERS[: len(data)])], dtype=np.uint64))
-    rank = np.concatenate([rank_of[_levels(p)] for _, p in _parts(data, WIDTH - 1) if len(p) >= WIDTH])
-    windows = np.lib.stride_tricks.sliding_window_view(data, WIDTH)
-    found = _popular(rank)
-    return np.concatenate(
-        [
-            _mixed(((windows[found[at : at + 4096]].astype(np.uint64) + np.uint64(1)) * _POWERS).sum(axis=1, dtype=np.uint64))
-            for at in range(0, len(found), 4096)
-        ]
-    )
+    out = []
+    for rank_at, (width, run, least, below) in zip(rank_of, SCALES):
+        if len(data) < least or (below is not None and len(data) >= below):
+            continue
+        rank = np.concatenate([rank_at[_levels(p, width)] for _, p in _parts(data, width - 1) if len(p) >= width])
+        windows = np.lib.stride_tricks.sliding_window_view(data, width)
+        its_run = max(1, min(run, len(rank) // 4))
+        found = _popular(rank, its_run, max(1, its_run // 4))
+        for at in range(0, len(found), 4096):
+            some = windows[found[at : at + 4096]].astype(np.uint64) + np.uint64(1)
+            out.append(_mixed((some * _POWERS[:width]).sum(axis=1, dtype=np.uint64)))
+    return np.concatenate(out)
 
 
 def filters(data: bytes, rank_of: np.ndarray) -> np.ndarray:
@@ -169,22 +186,22 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def rarity(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """The rank of every level, by its count over all windows of all documents."""
+    """The rank of every level by scale, by its count over all windows of all documents."""
     given = docs.select(F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(LEVELS + 1, dtype=np.int64)
+        total = np.zeros((len(SCALES), LEVELS + 1), dtype=np.int64)
         for batch in batches:
             for t in batch.column(0):
                 total += level_counts(np.frombuffer((t.as_py() or "").encode("utf-8", "replace"), dtype=np.uint8))
-        seen = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["level", "n"])
-
-    counted = given.mapInArrow(run, "level long, n long").groupBy("level").agg(F.sum("n").alias("n"))
-    counts = np.zeros(LEVELS + 1, dtype=np.int64)
-    for r in counted.collect():  # LEVELS + 1 rows at most
-        counts[r["level"]] = r["n"]
-    return ranks(counts)
+        scale, level = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(scale), pa.array(level), pa.array(total[scale, level])], ["scale", "level", "n"])
+
+    counted = given.mapInArrow(run, "scale long, level long, n long").groupBy("scale", "level").agg(F.sum("n").alias("n"))
+    counts = np.zeros((len(SCALES), LEVELS + 1), dtype=np.int64)
+    for r in counted.collect():  # LEVELS + 1 rows a scale at most
+        counts[r["scale"], r["level"]] = r["n"]
+    return np.stack([ranks(c) for c in counts])
 
 
 def edited(text: str, following: str) -> str:

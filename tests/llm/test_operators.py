@@ -444,3 +444,28 @@ def test_lines_with_one_other_letter_are_found(spark, tmp_path):
     for n in sorted(set(length.values())):
         assert sum(dropped[i] for i, k in length.items() if k == n) >= 18, n
     assert sum(dropped.values()) == sum(dropped[i] for i in length)
+
+
+def test_narrow_entropy_levels():
+    data = np.random.default_rng(8).integers(97, 105, 200, dtype=np.uint8)
+    for width, *_ in digest.SCALES:
+        got = digest._levels(data, width)
+        assert len(got) == len(data) - width + 1
+        for i, level in enumerate(got):
+            p = np.bincount(data[i : i + width]) / width
+            p = p[p > 0]
+            assert abs(level + (p * np.log2(p)).sum() * digest.LEVELS / np.log2(width)) <= 0.51
+
+
+def test_edited_texts_are_nearer_than_the_next_by_length(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: len((r["text"] or "").encode()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    by_class = defaultdict(list)
+    for r in queries.op10_fingerprint(spark, sf).collect():
+        n = texts[r["doc_id"]]
+        if n >= 8:
+            by_class[next(k for k in (64, 142, 300, 600, 1 << 30) if n < k)].append((r["near_edited"], r["near_next"]))
+    assert set(by_class) >= {64, 142, 300, 600, 1 << 30}
+    for k, pairs in by_class.items():
+        print(k, len(pairs), sum(e == 0 for e, _ in pairs), [round(float(x), 3) for x in np.mean(pairs, axis=0)])
+        assert sum(e > n for e, n in pairs) >= 0.9 * len(pairs), k
