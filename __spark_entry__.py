@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barframe import fixtures as fx
@@ -197,6 +197,22 @@ def q_score_short(spark, d):
     return shown(add_score(last_bars(latest_history(early, bars_kept(PERIOD)))), "symbol", "n_bars", "score")
 
 
+def _nation_cuts(spark, d):
+    """All bars of every nation, as of its own 5th, 15th, 25th and last bar: short and long series at every size.
+
+    A nation has at most one bar a day, so the window is bounded by the calendar.
+    """
+    numbered = fx.nation_daily(spark, d).withColumn("bar", F.row_number().over(Window.partitionBy("symbol", "interval").orderBy("ts")))
+    cuts = F.array(*[F.struct(F.lit(str(n or "last")).alias("name"), F.lit(n).cast("int").alias("n")) for n in (5, 15, 25, None)])
+    each = numbered.withColumn("cut", F.explode(cuts)).where("cut.n is null or bar <= cut.n")
+    return each.withColumn("symbol", F.concat_ws("@", "symbol", "cut.name")).drop("bar", "cut")
+
+
+def q_score_cuts(spark, d):
+    history = latest_history(_nation_cuts(spark, d), bars_kept(PERIOD))
+    return shown(add_score(last_bars(history)), "symbol", "n_bars", "score")
+
+
 def _analysis(spark, d, modes=MODES):
     info = fx.supplier_codes(spark, d).select("symbol", "pe", "pb")
     return analyze(_history(spark, d), modes, info)
@@ -236,6 +252,19 @@ def q_dip_entry_short(spark, d):
     return shown(sig.add_dip_entry(_early_analysis(spark, d, MODES)).select("symbol", "mode", "dip.*"))
 
 
+def _cut_analysis(spark, d, modes):
+    return analyze(latest_history(_nation_cuts(spark, d), bars_kept(PERIOD)), modes, short_series=True)
+
+
+def q_behavior_cuts(spark, d):
+    a = sig.add_behavior(_cut_analysis(spark, d, ["short"]))
+    return shown(a.select("symbol", "behavior.behavior", "behavior.confidence"))
+
+
+def q_dip_entry_cuts(spark, d):
+    return shown(sig.add_dip_entry(_cut_analysis(spark, d, MODES)).select("symbol", "mode", "dip.*"))
+
+
 # --- across intervals and symbols -------------------------------------------
 
 
@@ -422,6 +451,9 @@ def queries() -> dict[str, Query]:
         "dip_entry": q_dip_entry,
         "behavior_short": q_behavior_short,
         "dip_entry_short": q_dip_entry_short,
+        "score_cuts": q_score_cuts,
+        "behavior_cuts": q_behavior_cuts,
+        "dip_entry_cuts": q_dip_entry_cuts,
         "composite": q_composite,
         "sector_heatmap": q_sector_heatmap,
         **{f"insight_{view}": _insight(view) for view in VIEWS},

@@ -458,6 +458,12 @@ DIP_OUT = (
     " round(CASE WHEN score >= 70 THEN price + m * atr * 1.5 WHEN score >= 50 THEN price + m * atr * 1.2 END, 4) AS target"
     " FROM dips"
 )
+#: Every nation as of its own 5th, 15th, 25th and last bar.
+CUTS = """cuts AS (
+  SELECT * EXCLUDE (bar, cut, n) REPLACE (symbol || '@' || cut AS symbol)
+  FROM (SELECT *, row_number() OVER (PARTITION BY symbol, interval ORDER BY ts) AS bar FROM f2)
+  CROSS JOIN (VALUES ('5', 5), ('15', 15), ('25', 25), ('last', NULL)) t(cut, n) WHERE n IS NULL OR bar <= n)"""
+CUT = record((f"{F2},\n{CUTS}", "cuts"))
 EARLY = record((f"{F2},\nearly AS (FROM f2 WHERE ts < TIMESTAMP '1995-03-01')", "early"))
 
 # --- across intervals -------------------------------------------------------------
@@ -692,6 +698,19 @@ ORACLES = {
         f"{DIP_OUT} UNION ALL SELECT symbol, mode, 0, 'none', 'insufficient data', CAST(0 AS DOUBLE), NULL, NULL"
         " FROM panel CROSS JOIN modes WHERE pos = n_bars AND n_bars < 20",
     ),
+    "score_cuts": query(
+        panel([F2, CUTS], "cuts", KEEP),
+        f"SELECT symbol, n_bars, {SCORE} AS score FROM panel WHERE pos = n_bars",
+    ),
+    "behavior_cuts": query(
+        [*CUT, *ANALYSIS],
+        f"{BEHAVIOR} UNION ALL SELECT symbol, 'unknown', CAST(0 AS DOUBLE) FROM panel WHERE pos = n_bars AND n_bars < 20",
+    ),
+    "dip_entry_cuts": query(
+        [*CUT, *ANALYSIS, DIP],
+        f"{DIP_OUT} UNION ALL SELECT symbol, mode, 0, 'none', 'insufficient data', CAST(0 AS DOUBLE), NULL, NULL"
+        " FROM panel CROSS JOIN modes WHERE pos = n_bars AND n_bars < 20",
+    ),
     "composite": query(
         [
             *panel(

@@ -58,3 +58,14 @@ def test_contract(spark):
     own = {n for n in entry.queries() if n not in entry.CORPUS_QUERIES}
     assert own <= set(entry.oracle_sql())
     assert entry.entry(spark).count() == 10
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.1"])
+def test_short_and_long_series_at_every_size(spark, sf):
+    d = f"/root/testdata/sf{sf}"
+    con = duck(d)
+    for name, short in (("score_cuts", "n_bars < 20"), ("behavior_cuts", "behavior = 'unknown'"), ("dip_entry_cuts", "reason = 'insufficient data'")):
+        rows = entry.queries()[name](spark, d)
+        assert differences(rows.toPandas(), con.execute(entry.oracle_sql()[name]).df()) is None, name
+        symbols = rows.select("symbol").distinct().count()
+        assert symbols == 100 and rows.where(short).select("symbol").distinct().count() == 50, name
