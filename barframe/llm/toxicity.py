@@ -10,7 +10,8 @@ Every whole text is then scored: forward-backward marginals of all its tokens, f
 block of documents at a time. The document's score is the chance that at least one of its few most likely toxic
 tokens is toxic; runs of tokens with marginals of a half or more are the offending spans.
 
-Bounds: ``sample`` documents of each label, of at most ``sample_chars`` characters each, are learned from; they
+Bounds: ``sample`` documents of each label, of at most ``sample_chars`` characters each, are learned from, by at most
+``segments`` segments of SEGMENT tokens with toxic tokens, as many close to them and as many clear ones; they
 and the model (2^18 weights) are all that is sent to or from the driver. Rows without label, text or id
 teach nothing; of several labels of an id the largest counts. Without toxic examples every score is low.
 Null and empty texts are scored as texts without tokens. Repeated rows are scored alike. Extra columns are carried
@@ -35,7 +36,7 @@ BEGINNINGS = (3, 4, 5, 6, 7, 8)
 SEGMENT = 48
 #: Beyond the cover, a feature must occur in so many toxic documents.
 SURE = 8
-#: At most so many segments with toxic tokens, and so many of either kind without, are trained on.
+#: At most so many segments with toxic tokens, and so many of either kind without, are trained on if ``segments`` is not given.
 SEGMENTS = 2000
 #: Of the most likely tokens so many make the score.
 TOP = 3
@@ -163,8 +164,10 @@ def _segments(docs: list[tuple[list[bytes], list[int]]]) -> tuple[list[list[byte
     return words, tags
 
 
-def train(examples: list[tuple[str, int]], steps: int = 40, rate: float = 1.0, decay: float = 1e-4) -> Field:
-    """examples: (text, 0 or 1)."""
+def train(
+    examples: list[tuple[str, int]], steps: int = 40, rate: float = 1.0, decay: float = 1e-4, segments: int = SEGMENTS
+) -> Field:
+    """examples: (text, 0 or 1). At most ``segments`` segments with toxic tokens, close ones and those without are trained on."""
     toxic = [t for t in (tokens(text) for text, y in examples if y) if t]
     clean = [t for t in (tokens(text) for text, y in examples if not y) if t]
     chosen = picked_features([set(t) for t in toxic], [set(t) for t in clean])
@@ -182,7 +185,7 @@ def train(examples: list[tuple[str, int]], steps: int = 40, rate: float = 1.0, d
     marked = [i for i, t in enumerate(tags) if any(t)]
     clear = [i for i, t in enumerate(tags) if not any(t)]
     close = [i for i in clear if any(alike.get(w) for w in words[i])]
-    keep = [x for part in (marked, close, clear) for x in part[:: max(1, -(-len(part) // SEGMENTS))]]
+    keep = [x for part in (marked, close, clear) for x in part[:: max(1, -(-len(part) // segments))]]
     weights, trans = np.zeros(1 << BITS), np.zeros((2, 2))
     if not keep:
         return Field(weights - 8, trans)
@@ -265,6 +268,7 @@ def learn(
     label_col: str = "toxic",
     sample: int = 2000,
     sample_chars: int = 20_000,
+    segments: int = SEGMENTS,
 ) -> Field:
     """The field, trained on ``sample`` documents of each label that hash first. usable: which ids may teach."""
     label = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
@@ -279,7 +283,7 @@ def learn(
     # of rows with the same id one teaches
     texts = given.join(F.broadcast(some), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
     rows = texts.orderBy("id").collect()
-    return train([(r["text"], r["y"]) for r in rows])
+    return train([(r["text"], r["y"]) for r in rows], segments=segments)
 
 
 def scored(docs: DataFrame, field: Field, text_col: str = "text", carried: Column | None = None) -> DataFrame:

@@ -469,3 +469,9 @@ def test_edited_texts_are_nearer_than_the_next_by_length(spark):
     for k, pairs in by_class.items():
         print(k, len(pairs), sum(e == 0 for e, _ in pairs), [round(float(x), 3) for x in np.mean(pairs, axis=0)])
         assert sum(e > n for e, n in pairs) >= 0.9 * len(pairs), k
+
+
+def test_toxicity_bound_of_segments():
+    examples = [(f"some plain words {'vile ' * (i % 2)} and more {chr(97 + i % 26)}{chr(97 + i // 26)}q", i % 2) for i in range(80)]
+    whole, same, few = (toxicity.train(examples, **kw) for kw in ({}, {"segments": toxicity.SEGMENTS}, {"segments": 3}))
+    assert (whole.weights == same.weights).all() and np.count_nonzero(few.weights) < np.count_nonzero(whole.weights)
