@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barframe.llm import digest, exact_dedup, langid, line_dedup, mixing, packing, secret_scan, simhash, toxicity, url_filter
+from barframe.llm import digest, exact_dedup, langid, line_dedup, manifest, mixing, packing, secret_scan, simhash, toxicity, url_filter, whitening
 from barframe.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,6 +118,15 @@ def op10_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return digest.digests(table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op11_whitening(spark: SparkSession, d: str) -> DataFrame:
+    return whitening.whiten(table(spark, d, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op12_manifest(spark: SparkSession, d: str) -> DataFrame:
+    made = manifest.manifest(table(spark, d, "documents"), tampered={"n_chars": F.col("n_chars") + 1}, where=fold(7) == 0)
+    return made.withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_url_filter": op2_url_filter,
@@ -129,6 +138,8 @@ QUERIES: dict[str, Query] = {
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
     "op10_fingerprint": op10_fingerprint,
+    "op11_whitening": op11_whitening,
+    "op12_manifest": op12_manifest,
 }
 
 ORACLES = {"op2_url_filter": OP2_SQL, "op5_exact_dedup": OP5_SQL}
