@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barframe.llm import digest, exact_dedup, langid, line_dedup, manifest, mixing, packing, secret_scan, simhash, toxicity, url_filter, whitening
+from barframe.llm import digest, exact_dedup, jaccard, langid, line_dedup, manifest, mixing, packing, secret_scan, simhash, toxicity, url_filter, whitening
 from barframe.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,6 +127,10 @@ def op12_manifest(spark: SparkSession, d: str) -> DataFrame:
     return made.withColumnRenamed("id", "doc_id")
 
 
+def op13_ngram_join(spark: SparkSession, d: str) -> DataFrame:
+    return jaccard.near_sets(table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_url_filter": op2_url_filter,
@@ -140,6 +144,7 @@ QUERIES: dict[str, Query] = {
     "op10_fingerprint": op10_fingerprint,
     "op11_whitening": op11_whitening,
     "op12_manifest": op12_manifest,
+    "op13_ngram_join": op13_ngram_join,
 }
 
 ORACLES = {"op2_url_filter": OP2_SQL, "op5_exact_dedup": OP5_SQL}
