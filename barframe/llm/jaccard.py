@@ -28,12 +28,12 @@ in them, are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
@@ -42,8 +42,11 @@ from barframe.llm.common import checkpointed, components
 
 MULTIPLIER = 0x9E3779B97F4A7C15
 FLUSH = 200_000
-WORDS = 2**20
 BLOOM_BITS = 2**27
+LEADING = 22
+LAST = 2**24 - 1
+#: Tokens are counted by their leading 40 bits.
+COUNTED = 24
 
 
 @dataclass(frozen=True)
@@ -63,30 +66,22 @@ class Settings:
 
     def window(self, n: int) -> int:
         p = self.prefix(n)
-        return min(n, p + max(64, p // 4))
+        return min(n, p + max(32, p // 4))
 
     def alone(self, n: int) -> bool:
         """No other set can be like one of n tokens: of all others, one with a token more is the likest."""
         return 100 * n < self.percent * (n + 1) and (n < 2 or 100 * (n - 1) < self.percent * n)
 
     def possible(self, a: str, b: str) -> Column:
-        """Whether two sets that meet at these places (size * 2^32 + place) can share enough."""
-        at, n = F.col, lambda c: F.shiftright(c, 32)
-        left = F.least(*[n(c) - at(c).bitwiseAND(2**32 - 1) for c in (a, b)])
+        """Whether two sets that meet at these places (size * 2^24 + place) can share enough."""
+        at, n = F.col, lambda c: F.shiftright(c, 24)
+        left = F.least(*[n(c) - at(c).bitwiseAND(LAST) for c in (a, b)])
         return left * (100 + self.percent) >= self.percent * (n(a) + n(b))
 
     def alike(self, shared: int, a: int, b: int) -> bool:
         return 100 * shared >= self.percent * (a + b - shared)
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS:
-            self.clear()
-        self[word] = found = xxh64_intdigest(word)
-        return found
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spreads 64-bit numbers evenly, one to one."""
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -94,39 +89,116 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def tokens(text: bytes | None, size: int, hashes: WordHashes) -> np.ndarray:
-    """The set of a text's shingles, ascending; one of all words where there are fewer than size."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.empty(0, dtype=np.int64)
-    of_word = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-    taken = min(size, len(words))
-    n = len(words) - taken + 1
-    total = np.full(n, taken, dtype=np.uint64)
-    for i in range(taken):
-        total += of_word[i : i + n] * np.uint64(pow(MULTIPLIER, i + 1, 2**64))
-    return np.unique(mixed(total).view(np.int64))
+#: A number for each byte, that of its lower case for A-Z; 0 for what separates words.
+OF_BYTE = mixed(np.arange(1, 257, dtype=np.uint64))
+OF_BYTE[65:91] = OF_BYTE[97:123]
+OF_BYTE[[9, 10, 11, 12, 13, 32]] = 0
+
+
+def _powers(of: int, n: int) -> np.ndarray:
+    """1, of, of^2, ... modulo 2^64."""
+    factors = np.full(n, of, dtype=np.uint64)
+    factors[0] = 1
+    return np.cumprod(factors)
+
+
+class TokenSets:
+    """The sets of many texts at once. A word's hash is a polynomial of its bytes' numbers, a shingle's one of its words'
+    hashes. Bytes are taken in pieces that end between words."""
+
+    def __init__(self, size: int, piece: int = 2**17) -> None:
+        self.size, self.piece = size, piece
+        self._grow(2 * piece)
+
+    def _grow(self, n: int) -> None:
+        self.up, self.down = _powers(MULTIPLIER, n), _powers(pow(MULTIPLIER, -1, 2**64), n)
+
+    def _words(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and start of each word."""
+        if len(data) > len(self.up):
+            self._grow(len(data))
+        numbers = OF_BYTE[np.frombuffer(data, dtype=np.uint8)]
+        inside = numbers != 0
+        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        edges = np.concatenate([[0] * bool(inside[0]), edges, [len(data)] * bool(inside[-1])]).astype(np.int64)
+        starts, ends = edges[::2], edges[1::2]
+        if not len(starts):
+            return np.empty(0, dtype=np.uint64), starts
+        numbers *= self.up[: len(data)]
+        sums = np.add.reduceat(numbers, starts) * self.down[starts]
+        return mixed(sums + (ends - starts).astype(np.uint64)), starts
+
+    def words(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        if len(data) <= 2 * self.piece:
+            return self._words(data) if data else (np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64))
+        found, at = [], 0
+        while at < len(data):
+            end = at + self.piece
+            while end < len(data) and OF_BYTE[data[end - 1]]:
+                end += 1
+            hashes, starts = self._words(data[at:end])
+            found.append((hashes, starts + at))
+            at = end
+        return np.concatenate([h for h, _ in found]), np.concatenate([s for _, s in found])
+
+    def of(self, texts: Sequence[bytes | None]) -> Iterator[np.ndarray]:
+        """For each text its set of shingles, ascending; one shingle of all words where there are fewer than size."""
+        at = 0
+        while at < len(texts):
+            end, held = at, 0
+            while end < len(texts) and (end == at or held < self.piece):
+                held += len(texts[end] or b"") + 1
+                end += 1
+            yield from self._sets([t or b"" for t in texts[at:end]])
+            at = end
+
+    def _sets(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        of_word, starts = self.words(b" ".join(texts))
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        last = np.searchsorted(starts, ends)
+        total = np.full(max(len(of_word) - self.size + 1, 0), self.size, dtype=np.uint64)
+        for i in range(self.size):
+            total += of_word[i : i + len(total)] * self.up[i + 1]
+        shingles = mixed(total).view(np.int64)
+        first = 0
+        for end in last.tolist():
+            n = end - first
+            if n >= self.size:
+                found = np.sort(shingles[first : end - self.size + 1])
+                same = found[1:] == found[:-1]
+                yield np.concatenate([found[:1], found[1:][~same]]) if same.any() else found
+            elif n:
+                whole = (of_word[first:end] * self.up[1 : n + 1]).sum(dtype=np.uint64) + np.uint64(n)
+                yield mixed(np.array([whole])).view(np.int64)
+            else:
+                yield np.empty(0, dtype=np.int64)
+            first = end
+
+
+def tokens(text: str | None, size: int = 5) -> np.ndarray:
+    """The set of one text."""
+    return next(TokenSets(size).of([None if text is None else text.encode()]))
 
 
 Emit = Callable[[np.ndarray, int], tuple[np.ndarray, ...] | None]
 
 
 def _over_texts(docs: DataFrame, rules: Settings, make: Callable[[], Emit], schema: str, wanted=None) -> DataFrame:
-    """What `make()` emits, some rows per document, of each document's set and number in its batch; given columns id, rk
-    and text. An emitted array of numbers may be a pair (values, offsets) that makes a list column."""
+    """What `make()` emits, some rows per document, of each document's set and key; docs have columns rk and text.
+    wanted: a Bloom filter of the keys to look at. An emitted pair (values, None) is one list."""
     kind = T.StructType.fromDDL(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, emit, rows, held = WordHashes(), make(), [], 0
+        sets, emit, rows, held = TokenSets(rules.size), make(), [], 0
         for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary())
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            chosen = range(len(keys)) if wanted is None else np.flatnonzero(hit(wanted.value, keys))
-            for i in chosen:
-                out = emit(tokens(texts[int(i)].as_py(), rules.size, hashes), int(keys[i]))
+            if wanted is not None:
+                batch = batch.filter(pa.array(hit(wanted.value, batch.column(0).to_numpy(zero_copy_only=False))))
+            texts = batch.column(1).cast(pa.large_binary()).to_pylist()
+            for key, found in zip(batch.column(0).to_pylist(), sets.of(texts)):
+                out = emit(found, key)
                 if out is not None:
                     rows.append(out)
-                    held += len(out[0])
+                    held += len(found)
                 if held >= FLUSH:
                     yield _batch(rows, kind)
                     rows, held = [], 0
@@ -138,8 +210,8 @@ def _over_texts(docs: DataFrame, rules: Settings, make: Callable[[], Emit], sche
 
 def _batch(rows: list[tuple], kind: T.StructType) -> pa.RecordBatch:
     arrays = []
-    for field, parts in zip(kind.fields, zip(*rows)):
-        if isinstance(field.dataType, T.ArrayType):
+    for column, parts in zip(kind.fields, zip(*rows)):
+        if isinstance(column.dataType, T.ArrayType):
             offsets = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])]).astype(np.int32)
             arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([p[0] for p in parts]))))
         else:
@@ -166,21 +238,40 @@ def hit(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Frequent:
-    """Tokens, ascending, and the power of two of how many sets hold each."""
+    """Leading bits of tokens, ascending, and the power of two of how many sets hold each."""
 
     tokens: np.ndarray
     classes: np.ndarray
+    #: by a token's leading bits: whether any frequent token has them
+    leading: np.ndarray = field(init=False)
+
+    def __post_init__(self) -> None:
+        leading = np.zeros(2**LEADING, dtype=bool)
+        leading[self._leading(self.tokens)] = True
+        object.__setattr__(self, "leading", leading)
+
+    @staticmethod
+    def _leading(tokens: np.ndarray) -> np.ndarray:
+        return tokens.view(np.uint64) >> np.uint64(64 - LEADING)
 
     def of(self, tokens: np.ndarray) -> np.ndarray:
         """A class for each token; 0 for rare ones."""
-        if not len(self.tokens):
-            return np.zeros(len(tokens), dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
-        return np.where(self.tokens[at] == tokens, self.classes[at], 0)
+        tokens = counted(tokens)
+        classes = np.zeros(len(tokens), dtype=np.int64)
+        maybe = np.flatnonzero(self.leading[self._leading(tokens)])
+        if len(maybe):
+            asked = tokens[maybe]
+            at = np.minimum(np.searchsorted(self.tokens, asked), len(self.tokens) - 1)
+            classes[maybe] = np.where(self.tokens[at] == asked, self.classes[at], 0)
+        return classes
+
+
+def counted(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.int64(COUNTED)) << np.int64(COUNTED)
 
 
 def frequent(rows: DataFrame, rules: Settings) -> Frequent:
-    """The frequent class of tokens, at most most_frequent: rows hold a column token."""
+    """The frequent class of tokens, at most most_frequent: rows hold a column token, cut to what is counted."""
     counts = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rules.rare)
     counts = checkpointed(counts.select("token", F.floor(F.log2("n")).cast("int").alias("power")))
     sizes = {r["power"]: r["n"] for r in counts.groupBy("power").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -194,7 +285,8 @@ def frequent(rows: DataFrame, rules: Settings) -> Frequent:
 
 
 def _placed(n: int, places: np.ndarray) -> np.ndarray:
-    return (np.int64(n) << np.int64(32)) + places.astype(np.int64)
+    """Size and place in one number; a place of 2^24 or more counts as the last below, which only weakens the bound."""
+    return (np.int64(n) << np.int64(24)) + np.minimum(places, LAST).astype(np.int64)
 
 
 def _plain_rows(rules: Settings, common) -> Callable[[], Emit]:
@@ -218,8 +310,11 @@ def _front(found: np.ndarray, rules: Settings, common: Frequent) -> tuple[np.nda
     """The rare tokens of a set's prefix, and whether the set is crowded: its window has fewer of them than a prefix needs."""
     n = len(found)
     p = rules.prefix(n)
-    rare = common.of(found) == 0
-    return found[rare][:p], int(rare[: rules.window(n)].sum()) < p
+    window = found[: rules.window(n)]
+    rare = window[common.of(window) == 0]
+    if len(rare) >= p:
+        return rare[:p], False
+    return found[common.of(found) == 0][:p], True
 
 
 def node_of(found: np.ndarray) -> np.int64:
@@ -231,12 +326,10 @@ def marked(docs: DataFrame, rules: Settings, common) -> DataFrame:
     schema = T.StructType([docs.schema["id"], *T.StructType.fromDDL("rk long, n long, node long, crowded boolean").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        sets = TokenSets(rules.size)
         for batch in batches:
-            texts = batch.column(2).cast(pa.large_binary())
             sizes, nodes, crowded = [], [], []
-            for text in texts:
-                found = tokens(text.as_py(), rules.size, hashes)
+            for found in sets.of(batch.column(2).cast(pa.large_binary()).to_pylist()):
                 n = len(found)
                 sizes.append(n)
                 nodes.append(int(node_of(found)) if n else None)
@@ -247,20 +340,20 @@ def marked(docs: DataFrame, rules: Settings, common) -> DataFrame:
     return docs.select("id", "rk", "text").mapInArrow(run, schema)
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame, rules: Settings) -> DataFrame:
-    """Rows (node, tokens) for the given nodes (node, rk); rk tells a document of each."""
-    spark = docs.sparkSession
-    wanted = spark.sparkContext.broadcast(bloom(nodes))
+def sets_of(docs: DataFrame, nodes: DataFrame, rules: Settings, common) -> DataFrame:
+    """Rows (node, crowded, tokens) for the given nodes, rk telling a document of each. There may be more: false hits of
+    the filter, and a document that stands in several rows."""
+    wanted = docs.sparkSession.sparkContext.broadcast(bloom(nodes.select("rk")))
 
     def make() -> Emit:
-        def emit(found: np.ndarray, key: int):
-            return None if not len(found) else (np.array([node_of(found)]), np.array([key]), (found, None))
+        def emit(found: np.ndarray, _: int):
+            if not len(found) or rules.alone(len(found)):
+                return None
+            return np.array([node_of(found)]), np.array([_front(found, rules, common.value)[1]]), (found, None)
 
         return emit
 
-    read = _over_texts(docs, rules, make, "node long, rk long, tokens array<long>", wanted)
-    # a Bloom filter's false hits go; a document that stands in several rows stays once
-    return read.join(nodes, ["node", "rk"], "left_semi").dropDuplicates(["node"]).select("node", "tokens")
+    return _over_texts(docs, rules, make, "node long, crowded boolean, tokens array<long>", wanted)
 
 
 def _crowded_rows(sets: DataFrame, rules: Settings, common) -> DataFrame:
@@ -308,8 +401,13 @@ def _lists(column: pa.Array) -> Iterator[np.ndarray]:
 
 def verified(pairs: DataFrame, sets: DataFrame, rules: Settings) -> DataFrame:
     """The pairs (a, b) whose whole sets are alike."""
+    wanted = pairs.sparkSession.sparkContext.broadcast(bloom(pairs.select(F.explode(F.array("a", "b")).alias("rk"))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(hit(wanted.value, batch.column(0).to_numpy())))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [
                 rules.alike(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))
@@ -317,18 +415,16 @@ def verified(pairs: DataFrame, sets: DataFrame, rules: Settings) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    b = sets.select(F.col("node").alias("b"), F.col("tokens").alias("of_b"))
-    a = sets.select(F.col("node").alias("a"), F.col("tokens").alias("of_a"))
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+    of = sets.select("node", "tokens").mapInArrow(needed, "node long, tokens array<long>").dropDuplicates(["node"])
+    b = of.select(F.col("node").alias("b"), F.col("tokens").alias("of_b"))
+    a = of.select(F.col("node").alias("a"), F.col("tokens").alias("of_a"))
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "of_a", "of_b").mapInArrow(compare, "a long, b long")
 
 
-def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
-    """The pairs that the links do not connect."""
-    root = components(links)
-    for side in ("a", "b"):
-        pairs = pairs.join(root.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
-    together = F.coalesce("root_a", "a") == F.coalesce("root_b", "b")
-    return pairs.where(~together).select("a", "b")
+def _with_roots(rows: DataFrame, roots: DataFrame, node: str, root: str) -> DataFrame:
+    """The rows with the root of a node; a node without links is its own."""
+    found = roots.select(F.col("node").alias(node), F.col("root").alias("_root"))
+    return rows.join(found, node, "left").withColumn(root, F.coalesce("_root", node)).drop("_root")
 
 
 def resolved(pairs: DataFrame, sets: DataFrame, rules: Settings) -> DataFrame:
@@ -336,36 +432,50 @@ def resolved(pairs: DataFrame, sets: DataFrame, rules: Settings) -> DataFrame:
     pairs that are still apart."""
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = checkpointed(verified(first, sets, rules))
-    more = _apart(pairs.join(first, ["a", "b"], "left_anti"), links)
-    return checkpointed(links.union(verified(more, sets, rules)))
+    roots = components(links)
+    rest = _with_roots(_with_roots(pairs, roots, "a", "root_a"), roots, "b", "root_b").where("root_a <> root_b")
+    rest = checkpointed(rest.select("a", "b").join(first, ["a", "b"], "left_anti"))
+    return links if rest.isEmpty() else checkpointed(links.union(verified(rest, sets, rules)))
+
 
+def _as_pairs(met: DataFrame) -> DataFrame:
+    return met.select(F.least("x_node", "node").alias("a"), F.greatest("x_node", "node").alias("b")).distinct()
 
-def _pairs(left: DataFrame, right: DataFrame, rules: Settings, meet: Column) -> DataFrame:
-    """Distinct pairs a < b of rows (key, node, at) that meet under a key and can be alike."""
-    x = left.select("key", *[F.col(c).alias(f"x_{c}") for c in left.columns if c != "key"])
-    y = right.select("key", *[F.col(c).alias(f"y_{c}") for c in right.columns if c != "key"])
-    both = x.join(y, "key").where(meet & rules.possible("x_at", "y_at"))
-    return both.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
 
+def plain_pairs(rows: DataFrame, rules: Settings) -> DataFrame:
+    """Pairs a < b of plain sets, and of a plain and a crowded one, that meet under a token and can be alike.
 
-def _crowded_links(sets: DataFrame, rules: Settings) -> DataFrame:
-    """Links among crowded sets."""
-    spark = sets.sparkSession
-    common = spark.sparkContext.broadcast(frequent(sets.select(F.explode("tokens").alias("token")), rules))
-    rows = _crowded_rows(sets, rules, common)
+    No token has more plain sets than the rare class allows, so lists of them are short.
+    """
+    rows = rows.dropna()  # none is null: it is what a join asks for, said here so that both branches read one exchange
+    plain, crowded = rows.where("not crowded").drop("crowded"), rows.where("crowded").drop("crowded")
+    before = Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+    lists = {"x_node": F.collect_list("node").over(before), "x_at": F.collect_list("at").over(before)}
+    among = plain.withColumns(lists).where(F.size("x_node") > 0)
+    among = among.select("node", "at", F.inline(F.arrays_zip("x_node", "x_at")))
+    across = plain.join(crowded.select("key", F.col("node").alias("x_node"), F.col("at").alias("x_at")), "key")
+    met = among.unionByName(across.select("node", "at", "x_node", "x_at"))
+    return _as_pairs(met.where(F.col("node") != F.col("x_node")).where(rules.possible("at", "x_at")))
+
+
+def crowded_index(crowd: DataFrame, rules: Settings) -> DataFrame:
+    """Rows (key, node, at, c_node, c_at) for the keys that several crowded sets share, c being the smallest of them."""
+    each = crowd.select(F.explode("tokens").alias("token"))
+    each = each.select(F.shiftleft(F.shiftright("token", COUNTED), COUNTED).alias("token"))
+    common = crowd.sparkSession.sparkContext.broadcast(frequent(each, rules))
+    rows = _crowded_rows(crowd.select("node", "tokens"), rules, common)
     first = rows.groupBy("key").agg(F.min("node").alias("c_node"), F.min_by("at", "node").alias("c_at"), F.count(F.lit(1)).alias("n"))
-    shared = checkpointed(rows.join(first.where("n > 1").drop("n"), "key"))
-    star = shared.where("node <> c_node").where(rules.possible("at", "c_at"))
-    star = checkpointed(star.select(F.col("c_node").alias("a"), F.col("node").alias("b")).distinct())
-    links = resolved(star, sets, rules)
-    root = components(links).withColumnRenamed("root", "_root")
-    rooted = shared.drop("c_node", "c_at").join(root, "node", "left").withColumn("root", F.coalesce("_root", "node")).drop("_root")
-    rooted = checkpointed(rooted)
+    return rows.join(first.where("n > 1").drop("n"), "key")
+
+
+def crowded_rest(shared: DataFrame, links: DataFrame, rules: Settings) -> DataFrame:
+    """Pairs of crowded sets that meet under a key, can be alike and that no links connect."""
+    rooted = checkpointed(_with_roots(shared.drop("c_node", "c_at"), components(links), "node", "root"))
     several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     rooted = rooted.join(several, "key", "left_semi")
-    more = _pairs(rooted, rooted, rules, (F.col("x_node") < F.col("y_node")) & (F.col("x_root") != F.col("y_root")))
-    more = checkpointed(more.join(star, ["a", "b"], "left_anti"))
-    return links.union(resolved(more, sets, rules))
+    other = rooted.select("key", *[F.col(c).alias(f"x_{c}") for c in ("node", "at", "root")])
+    met = rooted.join(other, "key").where("x_node < node and x_root <> root").where(rules.possible("at", "x_at"))
+    return _as_pairs(met)
 
 
 def near_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Settings = Settings()) -> DataFrame:
@@ -377,7 +487,7 @@ def near_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
 
     def window() -> Emit:
         def emit(found: np.ndarray, _: int):
-            return None if not len(found) or rules.alone(len(found)) else (found[: rules.window(len(found))],)
+            return None if not len(found) or rules.alone(len(found)) else (counted(found[: rules.window(len(found))]),)
 
         return emit
 
@@ -387,15 +497,18 @@ def near_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     nodes = checkpointed(nodes)
 
     rows = _over_texts(given, rules, _plain_rows(rules, common), "key long, node long, at long, crowded boolean")
-    plain, crowded = rows.where("not crowded").drop("crowded"), rows.where("crowded").drop("crowded")
-    among = _pairs(plain, plain, rules, F.col("x_node") < F.col("y_node"))
-    pairs = checkpointed(among.union(_pairs(plain, crowded, rules, F.lit(True))))
-
-    of_pairs = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = nodes.join(of_pairs, "node", "left_semi").where("not crowded").union(nodes.where("crowded"))
-    sets = checkpointed(sets_of(given, wanted.select("node", "rk"), rules))
-    in_crowd = sets.join(nodes.where("crowded"), "node", "left_semi")
-    links = resolved(pairs, sets, rules).union(_crowded_links(checkpointed(in_crowd), rules))
+    pairs = checkpointed(plain_pairs(rows, rules))
+    met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = nodes.join(met, "node", "left_semi").where("not crowded").union(nodes.where("crowded"))
+    sets = checkpointed(sets_of(given, wanted, rules, common))
+
+    shared = checkpointed(crowded_index(checkpointed(sets.where("crowded").dropDuplicates(["node"])), rules))
+    star = shared.where("node <> c_node").where(rules.possible("at", "c_at"))
+    star = checkpointed(star.select(F.col("c_node").alias("a"), F.col("node").alias("b")).distinct())
+    links = resolved(pairs.union(star), sets, rules)
+    rest = checkpointed(crowded_rest(shared, links, rules).join(star, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        links = links.union(resolved(rest, sets, rules))
 
     grouped = components(links).join(nodes, "node").select("node", "root", "id")
     smallest = grouped.groupBy("root").agg(F.min("id").alias("least"))
