@@ -447,7 +447,8 @@ def plain_pairs(rows: DataFrame, rules: Settings) -> DataFrame:
 
     No token has more plain sets than the rare class allows, so lists of them are short.
     """
-    rows = rows.dropna()  # none is null: it is what a join asks for, said here so that both branches read one exchange
+    # none is null; a join asks for that, and where it is said both branches read one exchange
+    rows = rows.where("key is not null and node is not null and at is not null")
     plain, crowded = rows.where("not crowded").drop("crowded"), rows.where("crowded").drop("crowded")
     before = Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
     lists = {"x_node": F.collect_list("node").over(before), "x_at": F.collect_list("at").over(before)}
@@ -455,7 +456,16 @@ def plain_pairs(rows: DataFrame, rules: Settings) -> DataFrame:
     among = among.select("node", "at", F.inline(F.arrays_zip("x_node", "x_at")))
     across = plain.join(crowded.select("key", F.col("node").alias("x_node"), F.col("at").alias("x_at")), "key")
     met = among.unionByName(across.select("node", "at", "x_node", "x_at"))
-    return _as_pairs(met.where(F.col("node") != F.col("x_node")).where(rules.possible("at", "x_at")))
+    met = met.where(F.col("node") != F.col("x_node")).where(rules.possible("at", "x_at"))
+    # of two prefixes, the one that ends first has all common tokens up to there in the other: what is shared is at
+    # most the tokens shared by the prefixes and the rest behind one of them
+    n, x_n = F.shiftright("at", 24), F.shiftright("x_at", 24)
+    found = met.select(
+        F.least("x_node", "node").alias("a"), F.greatest("x_node", "node").alias("b"), (n + x_n).alias("total"), F.greatest(n, x_n).alias("larger")
+    )
+    found = found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"), F.max("total").alias("total"), F.max("larger").alias("larger"))
+    most = F.col("m") + F.ceil(F.col("larger") * rules.percent / 100) - 1
+    return found.where(most * (100 + rules.percent) >= rules.percent * F.col("total")).select("a", "b")
 
 
 def crowded_index(crowd: DataFrame, rules: Settings) -> DataFrame:
