@@ -14,8 +14,9 @@ in the first p + k - 1. So sets meet under tokens of such prefixes, rare tokens
   passages. Their tokens are counted whole. Prefixes are extended by one token, and indexed under single tokens
   of the rare class and pairs of tokens of the frequent one. Sets of `long` tokens or more would have too many pairs; they,
   and those down to what can be like them, are indexed under single tokens instead. Each crowded set
-  is compared with the smallest one of its key, then, under keys that hold several components, with the sets of other
-  components; so a family costs a comparison a set, not one a pair, and no link between components is lost.
+  is compared with that one of its key that has the fewest rare tokens, the least edited of a family; then, under keys that
+  hold several components, with the sets of other components; so a family costs a comparison a set, not
+  one a pair, and no link between components is lost.
 * Candidates must pass the positional bound. The rest are verified on whole sets: each with its first partner, and pairs
   that are still apart after that. Sets travel only for nodes that are in a candidate pair; a Bloom filter of fixed
   size, 2 bits a node, tells tasks which documents to read again (a false hit costs traffic, never a row).
@@ -357,9 +358,10 @@ def sets_of(docs: DataFrame, nodes: DataFrame, rules: Settings, common) -> DataF
 
 
 def _crowded_rows(sets: DataFrame, rules: Settings, common) -> DataFrame:
-    """(key, node, at) for sets of which many consist of frequent tokens: the rare tokens of the prefix, and pairs of
-    frequent ones of the prefix extended by a token; or single ones for long sets and those that may be like them."""
-    kind = T.StructType.fromDDL("key long, node long, at long")
+    """(key, node, at, rank) for sets of which many consist of frequent tokens: the rare tokens of the prefix, and pairs
+    of frequent ones of the prefix extended by a token; or single ones for long sets and those that may be like them.
+    Sets with fewer rare tokens rank first: in a family of copies, the least edited."""
+    kind = T.StructType.fromDDL("key long, node long, at long, rank long")
 
     def rows(node: int, found: np.ndarray):
         n, classes = len(found), common.value.of(found)
@@ -377,7 +379,9 @@ def _crowded_rows(sets: DataFrame, rules: Settings, common) -> DataFrame:
             keys.append(mixed(mixed(front[first]) * np.uint64(MULTIPLIER) + front[second]))
             at.append(second - 1)
         keys, at = np.concatenate(keys), np.concatenate(at)
-        return keys.view(np.int64), np.full(len(keys), np.int64(node)), _placed(n, at)
+        odd = min(int((classes == 0).sum()), 2**22)
+        rank = (odd << 40) + (int(node) % 2**64 >> 24)
+        return keys.view(np.int64), np.full(len(keys), np.int64(node)), _placed(n, at), np.full(len(keys), rank)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -469,13 +473,14 @@ def plain_pairs(rows: DataFrame, rules: Settings) -> DataFrame:
 
 
 def crowded_index(crowd: DataFrame, rules: Settings) -> DataFrame:
-    """Rows (key, node, at, c_node, c_at) for the keys that several crowded sets share, c being the smallest of them."""
+    """Rows (key, node, at, c_node, c_at) for the keys that several crowded sets share, c being the first by rank."""
     each = crowd.select(F.explode("tokens").alias("token"))
     each = each.select(F.shiftleft(F.shiftright("token", COUNTED), COUNTED).alias("token"))
     common = crowd.sparkSession.sparkContext.broadcast(frequent(each, rules))
     rows = _crowded_rows(crowd.select("node", "tokens"), rules, common)
-    first = rows.groupBy("key").agg(F.min("node").alias("c_node"), F.min_by("at", "node").alias("c_at"), F.count(F.lit(1)).alias("n"))
-    return rows.join(first.where("n > 1").drop("n"), "key")
+    best = [F.min_by(c, "rank").alias(f"c_{c}") for c in ("node", "at")]
+    first = rows.groupBy("key").agg(*best, F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return rows.drop("rank").join(first, "key")
 
 
 def crowded_rest(shared: DataFrame, links: DataFrame, rules: Settings) -> DataFrame:
