@@ -460,14 +460,15 @@ def plain_pairs(rows: DataFrame, rules: Settings) -> DataFrame:
     among = among.select("node", "at", F.inline(F.arrays_zip("x_node", "x_at")))
     across = plain.join(crowded.select("key", F.col("node").alias("x_node"), F.col("at").alias("x_at")), "key")
     met = among.unionByName(across.select("node", "at", "x_node", "x_at"))
-    met = met.where(F.col("node") != F.col("x_node")).where(rules.possible("at", "x_at"))
+    met = met.where(F.col("node") != F.col("x_node"))
     # of two prefixes, the one that ends first has all common tokens up to there in the other: what is shared is at
     # most the tokens shared by the prefixes and the rest behind one of them
     n, x_n = F.shiftright("at", 24), F.shiftright("x_at", 24)
-    found = met.select(
-        F.least("x_node", "node").alias("a"), F.greatest("x_node", "node").alias("b"), (n + x_n).alias("total"), F.greatest(n, x_n).alias("larger")
-    )
-    found = found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"), F.max("total").alias("total"), F.max("larger").alias("larger"))
+    sides = [F.least("x_node", "node").alias("a"), F.greatest("x_node", "node").alias("b")]
+    found = met.select(*sides, (n + x_n).alias("total"), F.greatest(n, x_n).alias("larger"), rules.possible("at", "x_at").alias("possible"))
+    found = found.groupBy("a", "b").agg(
+        F.count(F.lit(1)).alias("m"), F.max("total").alias("total"), F.max("larger").alias("larger"), F.bool_or("possible").alias("possible")
+    ).where("possible")
     most = F.col("m") + F.ceil(F.col("larger") * rules.percent / 100) - 1
     return found.where(most * (100 + rules.percent) >= rules.percent * F.col("total")).select("a", "b")
 
