@@ -16,6 +16,7 @@ table gives no rows.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +34,10 @@ MOST_LANGUAGES = 128
 UND = "und"
 #: Characters that are scored at once, so that temporary arrays stay small.
 BLOCK = 1 << 20
-LETTER = re.compile(r"[^\W\d_]")
-OTHERS = re.compile(r"[\W\d_]+")
+#: Word characters that are neither letters nor digits, such as fractions and Roman numerals.
+NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+LETTER = re.compile(rf"[^\W\d_{NUMERALS}]")
+OTHERS = re.compile(rf"[\W\d_{NUMERALS}]+")
 #: Odd multipliers of the hash, one for each place in an n-gram.
 MULTIPLIERS = tuple(np.uint32(m) for m in (2654435761, 2246822519, 3266489917))
 
