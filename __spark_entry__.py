@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,10 +12,13 @@ from barframe import fixtures as fx
 from barframe.functions.tickers import market_colors, normalize_ticker
 from barframe.operators import fundamentals as fund
 from barframe.operators import outputs as out
+from barframe.operators import running
 from barframe.operators import signals as sig
 from barframe.operators.analysis import analyze, pattern_record
+from barframe.operators.asof import composite_panel
 from barframe.operators.clean import clean_bars
 from barframe.operators.cross import composite, last_bars, scores_by_interval, sector_heatmap
+from barframe.operators.increments import extend, state_of
 from barframe.operators.indicators import full_history, latest_history
 from barframe.operators.news import latest_news
 from barframe.operators.resample import weekly_from_daily, with_weekly_fallback
@@ -23,7 +27,7 @@ from barframe.operators.series import tail_bars
 from barframe.plans.insight import deep_insight, top_scores
 from barframe.schema import BAR, DAILY, HOURLY, TRADE_MODES, VIEWS, bars_kept
 from barframe.sources.fallback import choose_source, instrument_info, merge_notes
-from barframe.sources.readers import scan_window
+from barframe.sources.readers import read_bars_table, save_bars_table, scan_window
 from oracle_queries import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,6 +139,13 @@ def q_scan_window(spark, d):
     return shown(scan_window(fx.mixed_bars(spark, d), "1y", F.lit("2001-06-30").cast("date")))
 
 
+def q_stored_bars(spark, d):
+    """All bars by way of a bucketed table of the catalog, read back by interval."""
+    name = f"bars_{uuid.uuid4().hex}"
+    save_bars_table(fx.mixed_bars(spark, d), name, buckets=8)
+    return shown(read_bars_table(spark, name, [DAILY, HOURLY]))
+
+
 # --- indicators over all bars -----------------------------------------------
 
 
@@ -150,6 +161,18 @@ def q_score_panel(spark, d):
     return shown(add_score(panel), "symbol", "ts", "score")
 
 
+#: Bars from this day on have landed after a state was made of the earlier ones.
+LANDED = "1997-06-01"
+
+
+def q_panel_increment(spark, d):
+    """Indicators of the bars that landed last, from the state of all earlier ones."""
+    bars = fx.supplier_daily(spark, d)
+    landed = F.col("ts") >= F.lit(LANDED).cast("timestamp_ntz")
+    rows, _ = extend(state_of(bars.where(~landed)), bars.where(landed))
+    return shown(rows, "symbol", "ts", "pos", "ma120", "vol_ratio_high", "adx", "mfi", "obv", "obv_ma20", "rsi", "macd", "macd_signal", "macd_hist")
+
+
 def q_candle_patterns(spark, d):
     panel = full_history(fx.supplier_daily(spark, d), False)
     return shown(sig.add_candle_patterns(panel), "symbol", "ts", "candle_patterns")
@@ -171,6 +194,17 @@ def q_structured_signals(spark, d):
     return shown(signals.select("symbol", "ts", "place", "s.type", "s.name", "s.strength"))
 
 
+def q_divergence_panel(spark, d):
+    """Divergences of every daily bar of every supplier."""
+    panel = running.add_divergences(full_history(fx.supplier_daily(spark, d)))
+    return shown(panel, "symbol", "ts", "macd_divergence", "rsi_divergence", "obv_divergence")
+
+
+def q_levels_panel(spark, d):
+    """Support and resistance of every daily bar of every supplier."""
+    return shown(running.add_levels(full_history(fx.supplier_daily(spark, d), False)), "symbol", "ts", "support", "resistance")
+
+
 # --- latest bar -------------------------------------------------------------
 
 
@@ -274,6 +308,13 @@ def q_composite(spark, d):
     return shown(composite(scores_by_interval(history), list(VIEWS)))
 
 
+def q_composite_panel(spark, d):
+    """The blended score as of every daily bar of suppliers and event types, by all views."""
+    bars = fx.mixed_bars(spark, d)
+    weeks = weekly_from_daily(bars.where(F.col("interval") == DAILY))
+    return shown(composite_panel(bars.unionByName(weeks), list(VIEWS)))
+
+
 INSIGHT_MODES = {"ultra_short": "ultra_short", "short": "short", "mid_long": "trend"}
 
 
@@ -419,6 +460,7 @@ def queries() -> dict[str, Query]:
         "weekly_fallback": q_weekly_fallback,
         "bars_tail": q_bars_tail,
         "scan_window": q_scan_window,
+        "stored_bars": q_stored_bars,
         "ma_set": _panel("ma5", "ma10", "ma20", "ma60", "ma120"),
         "volume_ratio": _panel(
             "vol_ma5", "vol_ma10", "vol_ma20", "vol_ratio", "vol_ratio_high", "vol_ratio_low"
@@ -433,11 +475,14 @@ def queries() -> dict[str, Query]:
         "macd": _panel("macd", "macd_signal", "macd_hist", stateful=True),
         "flat_bars": _panel("plus_di", "minus_di", "cmf", "mfi", "rsi", stateful=True, bars=fx.nation_daily),
         "hourly_panel": _panel("ma20", "vol_ratio", "rsi", "macd_hist", stateful=True, bars=fx.event_bars),
+        "panel_increment": q_panel_increment,
         "score_panel": q_score_panel,
         "candle_patterns": q_candle_patterns,
         "vp_signals": q_vp_signals,
         "triggers": q_triggers,
         "structured_signals": q_structured_signals,
+        "divergence_panel": q_divergence_panel,
+        "levels_panel": q_levels_panel,
         "support_resistance": _pattern("support", "resistance"),
         "divergence": _pattern("macd_divergence", "rsi_divergence", "obv_divergence"),
         "chip": _pattern("volume_cv", "range_place", "chip_concentration"),
@@ -455,6 +500,7 @@ def queries() -> dict[str, Query]:
         "behavior_cuts": q_behavior_cuts,
         "dip_entry_cuts": q_dip_entry_cuts,
         "composite": q_composite,
+        "composite_panel": q_composite_panel,
         "sector_heatmap": q_sector_heatmap,
         **{f"insight_{view}": _insight(view) for view in VIEWS},
         "fundamental_ttm": q_fundamental_ttm,

@@ -55,3 +55,19 @@ def write_bars(bars: DataFrame, path: str, mode: str = "overwrite") -> None:
     write_table(bars.select(*BAR), path, ["interval"], mode)
 
 
+def save_bars_table(bars: DataFrame, table: str, buckets: int = 64, mode: str = "overwrite") -> None:
+    """Bars as a table of the catalog: partitioned by interval, bucketed by symbol and sorted by time within a symbol.
+
+    Reads of some intervals skip the others' files, and windows over series need no exchange. Every bucket is
+    written by one task, as a file per interval. A bucket is read by one task too: where a single
+    symbol holds much of all bars, ``write_bars`` suits better.
+    """
+    dealt = bars.select(*BAR).repartition(buckets, "symbol")
+    writer = dealt.write.mode(mode).partitionBy("interval").bucketBy(buckets, "symbol").sortBy("symbol", "ts")
+    writer.saveAsTable(table)
+
+
+def read_bars_table(spark: SparkSession, table: str, intervals: list[str] | None = None) -> DataFrame:
+    """Bars of such a table, of all intervals or of those named."""
+    bars = spark.table(table).select(*BAR)
+    return bars.where(F.col("interval").isin(intervals)) if intervals else bars

@@ -289,6 +289,43 @@ def _divergence(ind: str) -> str:
   GROUP BY symbol, interval)"""
 
 
+def _up_to(bars: int) -> str:
+    """For each bar (cut) the bars of its window."""
+    return f"(SELECT p.*, t.pos AS cut FROM panel p JOIN panel t ON p.symbol = t.symbol AND p.pos BETWEEN t.pos - {bars - 1} AND t.pos)"
+
+
+def _divergence_at(ind: str) -> str:
+    c = "PARTITION BY symbol, cut"
+    return f"""div_{ind} AS (
+  SELECT symbol, cut, CASE
+      WHEN max(m) < 10 THEN 'none'
+      WHEN max(close) FILTER (hi AND nh = 1) > max(close) FILTER (hi AND nh = 2)
+       AND max({ind}) FILTER (hi AND nh = 1) <= max({ind}) FILTER (hi AND nh = 2) THEN 'top'
+      WHEN max(close) FILTER (lo AND nl = 1) < max(close) FILTER (lo AND nl = 2)
+       AND max({ind}) FILTER (lo AND nl = 1) >= max({ind}) FILTER (lo AND nl = 2) THEN 'bottom'
+      ELSE 'none' END AS {ind}_divergence
+  FROM (SELECT *, row_number() OVER ({c}, hi ORDER BY pos DESC) AS nh, row_number() OVER ({c}, lo ORDER BY pos DESC) AS nl
+        FROM (SELECT symbol, cut, pos, close, {ind}, count(*) OVER ({c}) AS m,
+                count(*) OVER w = 5 AND close = max(close) OVER w AS hi,
+                count(*) OVER w = 5 AND close = min(close) OVER w AS lo
+              FROM {_up_to(30)} WHERE {ind} IS NOT NULL
+              WINDOW w AS ({c} ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)))
+  GROUP BY symbol, cut)"""
+
+
+LEVELS_AT = f"""levels AS (
+  SELECT symbol, cut AS pos,
+    coalesce((coalesce(max(low) FILTER (lo AND nl = 3), 0) + coalesce(max(low) FILTER (lo AND nl = 2), 0) + coalesce(max(low) FILTER (lo AND nl = 1), 0)) / nullif(count(*) FILTER (lo AND nl <= 3), 0), min(low) FILTER (pos > cut - 20)) AS support,
+    coalesce((coalesce(max(high) FILTER (hi AND nh = 3), 0) + coalesce(max(high) FILTER (hi AND nh = 2), 0) + coalesce(max(high) FILTER (hi AND nh = 1), 0)) / nullif(count(*) FILTER (hi AND nh <= 3), 0), max(high) FILTER (pos > cut - 20)) AS resistance
+  FROM (SELECT *, row_number() OVER (PARTITION BY symbol, cut, hi ORDER BY pos DESC) AS nh,
+               row_number() OVER (PARTITION BY symbol, cut, lo ORDER BY pos DESC) AS nl
+        FROM (SELECT symbol, cut, pos, low, high, count(*) OVER w = 11 AND high = max(high) OVER w AS hi,
+                count(*) OVER w = 11 AND low = min(low) OVER w AS lo
+              FROM {_up_to(80)}
+              WINDOW w AS (PARTITION BY symbol, cut ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)))
+  GROUP BY symbol, cut)"""
+
+
 CHIP = f"""chip AS (
   SELECT *, CASE WHEN mean = 0 THEN 'average' WHEN volume_cv < 0.5 AND range_place > 0.3 AND range_place < 0.7
                  THEN 'concentrated' WHEN volume_cv > 1 THEN 'dispersed' ELSE 'neutral' END AS chip_concentration
@@ -485,6 +522,31 @@ summed AS (
     CASE WHEN d THEN d_score ELSE 0 END + CASE WHEN w THEN w_score ELSE 0 END + CASE WHEN h THEN h_score ELSE 0 END AS plain,
     CAST(d AS INT) + CAST(w AS INT) + CAST(h AS INT) AS n FROM weighted)
 """
+AS_OF_FIELDS = "score n_bars close rsi macd_hist vol_ratio ma20".split()
+AS_OF = f"""scored AS (
+  SELECT *, {SCORE} AS score, ts + CASE interval WHEN '60m' THEN INTERVAL 1 HOUR ELSE INTERVAL 1 DAY END AS known
+  FROM (SELECT * REPLACE (pos AS n_bars, {", ".join(f"CASE WHEN pos >= 20 THEN {c} END AS {c}" for c in AS_OF_FIELDS[3:])}) FROM panel)),
+wide AS (
+  SELECT d.symbol, d.ts, {", ".join(f"{n}.{c} AS {n}_{c}" for n in "dwh" for c in AS_OF_FIELDS)}
+  FROM (FROM scored WHERE interval = '1d') d
+  ASOF LEFT JOIN (FROM scored WHERE interval = '1wk') w ON d.symbol = w.symbol AND d.known >= w.known
+  ASOF LEFT JOIN (FROM scored WHERE interval = '60m') h ON d.symbol = h.symbol AND d.known >= h.known),
+"""
+COMPOSITE_OUT = (
+    "view, CASE WHEN d THEN d_score END AS score_daily, CASE WHEN w THEN w_score END AS score_weekly,"
+    " CASE WHEN h THEN h_score END AS score_hourly, CAST(wd AS DOUBLE) AS w_daily, CAST(ww AS DOUBLE) AS w_weekly,"
+    " CAST(wh AS DOUBLE) AS w_hourly, round(CAST(coalesce(CASE WHEN ws > 0 THEN pts / ws END,"
+    " plain / nullif(n, 0), 0) AS DOUBLE), 4) AS composite_score,"
+    + ", ".join(
+        f"round(CASE WHEN h THEN h_{c} END, 4) AS hourly_{c}"
+        for c in ("close", "rsi", "macd_hist", "vol_ratio")
+    )
+    + ", "
+    + ", ".join(
+        f"round(CASE WHEN uses_w THEN w_{c} END, 4) AS weekly_{c}"
+        for c in ("close", "rsi", "macd_hist", "ma20")
+    )
+)
 THIN = """thin AS (SELECT symbol FROM {0} GROUP BY symbol
   HAVING count(*) FILTER (interval = '1wk') < 20 AND count(*) FILTER (interval = '1d') >= 80)"""
 
@@ -635,6 +697,12 @@ ORACLES = {
     "flat_bars": full("plus_di", "minus_di", "cmf", "mfi", "rsi", stateful=True, bars=(F2, "f2")),
     "hourly_panel": full("ma20", "vol_ratio", "rsi", "macd_hist", stateful=True, bars=(F3, "f3")),
     "score_panel": query(panel([F1], "f1"), f"SELECT symbol, {TS}, {SCORE} AS score FROM panel"),
+    "panel_increment": query(
+        panel([F1], "f1"),
+        f"SELECT symbol, {TS}, pos, "
+        + ", ".join(R.format(c) for c in "ma120 vol_ratio_high adx mfi obv obv_ma20 rsi macd macd_signal macd_hist".split())
+        + " FROM panel WHERE ts >= TIMESTAMP '1997-06-01'",
+    ),
     "candle_patterns": query(
         panel([F1], "f1", stateful=False),
         f"SELECT symbol, {TS}, {CANDLES} AS candle_patterns FROM panel",
@@ -649,6 +717,17 @@ ORACLES = {
         f"SELECT symbol, {TS}, CASE WHEN pos < 20 THEN '' ELSE {TRIGGERS} END AS triggers FROM panel",
     ),
     "structured_signals": query(panel([F1], "f1"), STRUCTURED),
+    "divergence_panel": query(
+        [*panel([F1], "f1"), *[_divergence_at(i) for i in ("macd", "rsi", "obv")]],
+        f"SELECT p.symbol, {TS}, coalesce(macd_divergence, 'none') AS macd_divergence,"
+        " coalesce(rsi_divergence, 'none') AS rsi_divergence, coalesce(obv_divergence, 'none') AS obv_divergence FROM panel p"
+        + "".join(f" LEFT JOIN div_{i} ON div_{i}.symbol = p.symbol AND div_{i}.cut = p.pos" for i in ("macd", "rsi", "obv")),
+    ),
+    "levels_panel": query(
+        [*panel([F1], "f1", stateful=False), LEVELS_AT],
+        f"SELECT symbol, {TS}, round(support, 4) AS support, round(resistance, 4) AS resistance"
+        " FROM panel JOIN levels USING (symbol, pos)",
+    ),
     "support_resistance": query(
         record(),
         "SELECT symbol, round(support, 4) AS support, round(resistance, 4) AS resistance FROM full_record",
@@ -726,21 +805,20 @@ ORACLES = {
             COMPOSITE_WEIGHTS,
             COMPOSITE,
         ],
-        "SELECT symbol, view, CASE WHEN d THEN d_score END AS score_daily, CASE WHEN w THEN w_score END AS score_weekly,"
-        " CASE WHEN h THEN h_score END AS score_hourly, CAST(wd AS DOUBLE) AS w_daily, CAST(ww AS DOUBLE) AS w_weekly,"
-        " CAST(wh AS DOUBLE) AS w_hourly, round(CAST(coalesce(CASE WHEN ws > 0 THEN pts / ws END,"
-        " plain / nullif(n, 0), 0) AS DOUBLE), 4) AS composite_score,"
-        + ", ".join(
-            f"round(CASE WHEN h THEN h_{c} END, 4) AS hourly_{c}"
-            for c in ("close", "rsi", "macd_hist", "vol_ratio")
-        )
-        + ", "
-        + ", ".join(
-            f"round(CASE WHEN uses_w THEN w_{c} END, 4) AS weekly_{c}"
-            for c in ("close", "rsi", "macd_hist", "ma20")
-        )
-        + " FROM summed",
+        f"SELECT symbol, {COMPOSITE_OUT} FROM summed",
+    ),
+    "composite_panel": query(
+        [
+            *panel(
+                [*MIXED, weekly("(FROM mixed WHERE interval = '1d')", "w"), "daily_weekly AS (FROM mixed UNION ALL FROM w)"],
+                "daily_weekly",
+            ),
+            COMPOSITE_WEIGHTS,
+            AS_OF + COMPOSITE[COMPOSITE.index("offered AS (") :],
+        ],
+        f"SELECT symbol, {TS}, {COMPOSITE_OUT} FROM summed",
     ),
+    "stored_bars": query(MIXED, f"SELECT {BAR_OUT} FROM mixed"),
     "insight_ultra_short": _insight("ultra_short", "ultra_short", 50, 52),
     "insight_short": _insight("short", "short", 110, 52),
     "insight_mid_long": _insight("mid_long", "trend", 272, 60),

@@ -14,12 +14,16 @@ NAMES = [
     "source_notes",
     "instrument_info",
     "weekly_fallback",
+    "stored_bars",
     "bars_tail",
     "scan_window",
     "volume_ratio",
     "obv",
     "macd",
     "flat_bars",
+    "panel_increment",
+    "divergence_panel",
+    "levels_panel",
     "score_panel",
     "structured_signals",
     "triggers",
@@ -29,6 +33,7 @@ NAMES = [
     "dip_entry_short",
     "behavior_short",
     "composite",
+    "composite_panel",
     "insight_short",
     "sector_heatmap",
     "fundamental_ttm",
