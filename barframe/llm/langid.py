@@ -34,16 +34,22 @@ MOST_LANGUAGES = 128
 UND = "und"
 #: Characters that are scored at once, so that temporary arrays stay small.
 BLOCK = 1 << 20
-#: Word characters that are neither letters nor digits, such as fractions and Roman numerals.
-NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-LETTER = re.compile(rf"[^\W\d_{NUMERALS}]")
-OTHERS = re.compile(rf"[\W\d_{NUMERALS}]+")
+OTHERS = re.compile(r"[\W\d_]+")
+#: Word characters that are neither letters nor digits, such as fractions and Roman numerals, to spaces.
+NUMERALS = {ord(c): " " for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()}
 #: Odd multipliers of the hash, one for each place in an n-gram.
 MULTIPLIERS = tuple(np.uint32(m) for m in (2654435761, 2246822519, 3266489917))
 
 
 def _plain(text: str) -> str:
-    return " " + OTHERS.sub(" ", text.lower()).strip() + " "
+    words = OTHERS.sub(" ", text.lower())
+    if not words.replace(" ", "").isalpha():
+        words = OTHERS.sub(" ", words.translate(NUMERALS))
+    return f" {words.strip()} "
+
+
+def has_letter(text: str) -> bool:
+    return any(c.isalpha() for c in text)
 
 
 def _blocks(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
@@ -136,7 +142,7 @@ class Model:
         return odds / odds.sum(axis=1, keepdims=True)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        able = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if self.languages else []
+        able = [i for i, t in enumerate(texts) if t and has_letter(t)] if self.languages else []
         langs, scores = [UND] * len(texts), [0.0] * len(texts)
         if able:
             chances = self.posteriors([texts[i] for i in able])
