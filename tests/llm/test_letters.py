@@ -7,7 +7,7 @@ from barframe.llm import langid
 
 def test_only_letters_are_letters():
     for c in map(chr, range(0x2C00)):
-        if len(c.lower()) > 1:
+        if len(c.lower()) > 1 or c == " ":
             continue
         letter = unicodedata.category(c).startswith("L")
         assert langid.has_letter(c) == letter and (langid._plain(f"a{c}b") == f" a{c.lower()}b ") == letter, hex(ord(c))
