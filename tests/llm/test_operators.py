@@ -116,6 +116,23 @@ def test_collisions_are_told_apart(spark, monkeypatch):
     assert {(r["id"], r["keep_id"], r["group_size"], r["kept"]) for r in rows} == {(1, 1, 2, True), (2, 2, 1, True), (3, 1, 2, False)}
 
 
+@pytest.mark.parametrize("filter_rows", [1, 4096])
+def test_exact_dedup_has_one_plan_at_every_size(spark, filter_rows):
+    """40,000 repeated hashes; of one row, the filter has a bit for each only in part, and most rows without a copy pass it too."""
+    df = spark.range(100_000).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.when(F.col("id") < 80_000, F.col("id") % 40_000).otherwise(F.col("id"))).alias("text")
+    )
+    groups = exact_dedup.copy_groups(df, keep="largest", filter_rows=filter_rows)
+    want = F.when(F.col("id") < 40_000, F.col("id") + 40_000).otherwise(F.col("id"))
+    size = F.when(F.col("id") < 80_000, 2).otherwise(1)
+    right = (F.col("keep_id") == want) & (F.col("group_size") == size) & (F.col("kept") == (F.col("id") >= 40_000))
+    assert groups.count() == 100_000 and groups.where(~right).isEmpty() and groups.select("id").distinct().count() == 100_000
+    # texts are no part of the join, as no hash has two
+    plan = groups._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join LeftOuter" in line and "g_hash" in line]
+    assert joins and not any("text" in line for line in joins)
+
+
 def test_oracles(spark):
     TABLES.extend(t for t in ("documents", "pages", "labels") if t not in TABLES)
     con = duck(SF)
