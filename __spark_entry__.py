@@ -21,6 +21,7 @@ from barframe.operators.cross import composite, last_bars, scores_by_interval, s
 from barframe.operators.increments import extend, state_of
 from barframe.operators.indicators import full_history, latest_history
 from barframe.operators.news import latest_news
+from barframe.operators.record_panel import analysis_panel
 from barframe.operators.resample import weekly_from_daily, with_weekly_fallback
 from barframe.operators.scoring import add_score
 from barframe.operators.series import tail_bars
@@ -205,6 +206,30 @@ def q_levels_panel(spark, d):
     return shown(running.add_levels(full_history(fx.supplier_daily(spark, d), False)), "symbol", "ts", "support", "resistance")
 
 
+def _record_panel(spark, d, modes=MODES):
+    return analysis_panel(full_history(fx.supplier_daily(spark, d)), modes, short_series=True)
+
+
+def q_behavior_panel(spark, d):
+    """Big-money behaviour as of every daily bar of every supplier."""
+    a = sig.add_behavior(_record_panel(spark, d, ["short"]))
+    return shown(a.select("symbol", "ts", "behavior.behavior", "behavior.confidence"))
+
+
+def q_dip_entry_panel(spark, d):
+    """Dip entry as of every daily bar of every supplier, by all trade modes."""
+    return shown(sig.add_dip_entry(_record_panel(spark, d)).select("symbol", "ts", "mode", "dip.*"))
+
+
+def q_risk_panel(spark, d):
+    """Scores, stop, target and position size as of every daily bar from a supplier's 20th on."""
+    a = analysis_panel(full_history(fx.supplier_daily(spark, d)), MODES)
+    return shown(
+        a, *"symbol ts mode trend status total_score stop_loss take_profit risk_reward position_size".split(),
+        *"chip_concentration price_patterns candle_patterns vp_signals rsi adx".split(),
+    )
+
+
 # --- latest bar -------------------------------------------------------------
 
 
@@ -483,6 +508,9 @@ def queries() -> dict[str, Query]:
         "structured_signals": q_structured_signals,
         "divergence_panel": q_divergence_panel,
         "levels_panel": q_levels_panel,
+        "behavior_panel": q_behavior_panel,
+        "dip_entry_panel": q_dip_entry_panel,
+        "risk_panel": q_risk_panel,
         "support_resistance": _pattern("support", "resistance"),
         "divergence": _pattern("macd_divergence", "rsi_divergence", "obv_divergence"),
         "chip": _pattern("volume_cv", "range_place", "chip_concentration"),

@@ -10,6 +10,11 @@ from pyspark.sql import DataFrame
 LEVEL_REACH, LEVEL_PIVOTS, LEVEL_FALLBACK = 5, 3, 20
 DIVERGENCE_BARS, DIVERGENCE_REACH, DIVERGENCE_MIN = 30, 2, 10
 CHIP_BARS = 20
+CHIP_CLASS = (
+    "case when _mean = 0 then 'average'"
+    " when volume_cv < 0.5D and range_place > 0.3D and range_place < 0.7D then 'concentrated'"
+    " when volume_cv > 1D then 'dispersed' else 'neutral' end"
+)
 
 
 def last_items(array: str, n: int) -> str:
@@ -118,9 +123,4 @@ def add_concentration(latest: DataFrame) -> DataFrame:
         f"try_divide(sqrt(try_divide({total(squares)}, size(_v) - 1D)), _mean) as volume_cv",
         "if(_top = _low, 0.5D, try_divide(close - _low, _top - _low)) as range_place",
     )
-    return df.selectExpr(
-        "*",
-        "case when _mean = 0 then 'average'"
-        " when volume_cv < 0.5D and range_place > 0.3D and range_place < 0.7D then 'concentrated'"
-        " when volume_cv > 1D then 'dispersed' else 'neutral' end as chip_concentration",
-    ).drop("_t", "_v", "_top", "_low", "_mean")
+    return df.selectExpr("*", f"{CHIP_CLASS} as chip_concentration").drop("_t", "_v", "_top", "_low", "_mean")

@@ -70,7 +70,16 @@ def slope(array: str, n: int) -> str:
     )
 
 
-def add_price_patterns(latest: DataFrame, lookback: int = 30) -> DataFrame:
+PATTERN_BARS, SLOPE_BARS = 30, 15
+#: Of columns _mean, _top and _bottom of the bars, slopes _hs and _ls of highs and lows, and percent moves _m20 and _m5.
+PRICE_RULES = fired(
+    ("_mean > 0 and (_top - _bottom) / _mean < 0.08D", "box"),
+    ("_hs < 0 and _ls > 0", "triangle"),
+    ("abs(_m20) > 10D and abs(_m5) < 4D", "flag"),
+)
+
+
+def add_price_patterns(latest: DataFrame, lookback: int = PATTERN_BARS) -> DataFrame:
     df = latest.selectExpr("*", f"{last_items('tail', lookback)} as _t")
     df = df.selectExpr(
         "*",
@@ -80,22 +89,19 @@ def add_price_patterns(latest: DataFrame, lookback: int = 30) -> DataFrame:
     ).selectExpr(
         "*",
         f"{mean('_c')} as _mean",
-        f"{slope(last_items('_h', 15), 15)} as _hs",
-        f"{slope(last_items('_l', 15), 15)} as _ls",
+        "array_max(_h) as _top",
+        "array_min(_l) as _bottom",
+        f"{slope(last_items('_h', SLOPE_BARS), SLOPE_BARS)} as _hs",
+        f"{slope(last_items('_l', SLOPE_BARS), SLOPE_BARS)} as _ls",
         *[
-            f"try_divide(close - get(_c, size(_c) - {n}), get(_c, size(_c) - {n})) * 100D as _c{n}"
+            f"try_divide(close - get(_c, size(_c) - {n}), get(_c, size(_c) - {n})) * 100D as _m{n}"
             for n in (20, 5)
         ],
     )
-    rules = fired(
-        ("_mean > 0 and (array_max(_h) - array_min(_l)) / _mean < 0.08D", "box"),
-        ("_hs < 0 and _ls > 0", "triangle"),
-        ("abs(_c20) > 10D and abs(_c5) < 4D", "flag"),
-    )
     return df.selectExpr(
         "*",
-        f"if(n_bars < {lookback}, cast(array() as array<string>), {rules}) as price_patterns",
-    ).drop("_t", "_h", "_l", "_c", "_mean", "_hs", "_ls", "_c20", "_c5")
+        f"if(n_bars < {lookback}, cast(array() as array<string>), {PRICE_RULES}) as price_patterns",
+    ).drop("_t", "_h", "_l", "_c", "_mean", "_top", "_bottom", "_hs", "_ls", "_m20", "_m5")
 
 
 def add_structured_signals(df: DataFrame) -> DataFrame:

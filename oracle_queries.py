@@ -503,6 +503,44 @@ CUTS = """cuts AS (
 CUT = record((f"{F2},\n{CUTS}", "cuts"))
 EARLY = record((f"{F2},\nearly AS (FROM f2 WHERE ts < TIMESTAMP '1995-03-01')", "early"))
 
+RECORD_AT = RECORD.split("full_record AS")[0].replace("WHERE pos = n_bars AND n_bars >= 20", "WHERE n_bars >= 20 AND pos >= 20").replace(
+    "symbol, interval, ts, close AS price", "symbol, interval, ts, pos, close AS price"
+)
+#: The record as of every bar: the window of each bar is joined, its pivots are found, and the latest-bar rules follow.
+PANEL_RECORD = [
+    *panel([F1], "f1"),
+    LEVELS_AT,
+    *[_divergence_at(i) for i in ("macd", "rsi", "obv")],
+    f"""chip AS (
+  SELECT *, CASE WHEN mean = 0 THEN 'average' WHEN volume_cv < 0.5 AND range_place > 0.3 AND range_place < 0.7
+                 THEN 'concentrated' WHEN volume_cv > 1 THEN 'dispersed' ELSE 'neutral' END AS chip_concentration
+  FROM (SELECT symbol, pos, avg(volume) OVER w AS mean, stddev_samp(volume) OVER w / nullif(avg(volume) OVER w, 0) AS volume_cv,
+          CASE WHEN max(high) OVER w = min(low) OVER w THEN 0.5
+               ELSE (close - min(low) OVER w) / (max(high) OVER w - min(low) OVER w) END AS range_place
+        FROM panel WINDOW w AS ({O} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))),
+patterns AS (
+  SELECT symbol, pos, CASE WHEN pos < 30 THEN '' ELSE {fired(
+    ("mean > 0 AND (top - bottom) / mean < 0.08", "box"),
+    ("hs < 0 AND ls > 0", "triangle"),
+    ("abs((close - c20) / c20 * 100) > 10 AND abs((close - c5) / c5 * 100) < 4", "flag"),
+  )} END AS price_patterns
+  FROM (SELECT symbol, pos, close, max(high) OVER w AS top, min(low) OVER w AS bottom, avg(close) OVER w AS mean,
+          regr_slope(high, pos) OVER t AS hs, regr_slope(low, pos) OVER t AS ls,
+          lag(close, 19) OVER o AS c20, lag(close, 4) OVER o AS c5
+        FROM panel WINDOW w AS ({O} ROWS BETWEEN 29 PRECEDING AND CURRENT ROW),
+          t AS ({O} ROWS BETWEEN 14 PRECEDING AND CURRENT ROW), o AS ({O})))""",
+    RECORD_AT
+    + """full_record AS (
+  SELECT snap.*, l.support, l.resistance, coalesce(dm.macd_divergence, 'none') AS macd_divergence,
+         coalesce(dr.rsi_divergence, 'none') AS rsi_divergence, coalesce(dob.obv_divergence, 'none') AS obv_divergence,
+         c.volume_cv, c.range_place, c.chip_concentration, p.price_patterns
+  FROM snap JOIN levels l USING (symbol, pos) JOIN chip c USING (symbol, pos) JOIN patterns p USING (symbol, pos)
+  LEFT JOIN div_macd dm ON dm.symbol = snap.symbol AND dm.cut = snap.pos
+  LEFT JOIN div_rsi dr ON dr.symbol = snap.symbol AND dr.cut = snap.pos
+  LEFT JOIN div_obv dob ON dob.symbol = snap.symbol AND dob.cut = snap.pos)""",
+    *ANALYSIS,
+]
+
 # --- across intervals -------------------------------------------------------------
 
 COMPOSITE_WEIGHTS = """views AS (SELECT * FROM (VALUES ('ultra_short', 0.3, 0.0, 0.7, false, true),
@@ -728,6 +766,24 @@ ORACLES = {
         f"SELECT symbol, {TS}, round(support, 4) AS support, round(resistance, 4) AS resistance"
         " FROM panel JOIN levels USING (symbol, pos)",
     ),
+    "behavior_panel": query(
+        PANEL_RECORD,
+        BEHAVIOR.replace("SELECT symbol,", f"SELECT symbol, {TS},", 1).replace("(SELECT symbol,", "(SELECT symbol, ts,")
+        + f" UNION ALL SELECT symbol, {TS}, 'unknown', CAST(0 AS DOUBLE) FROM panel WHERE pos < 20",
+    ),
+    "dip_entry_panel": query(
+        [*PANEL_RECORD, DIP.replace("SELECT symbol, mode", "SELECT symbol, ts, mode")],
+        DIP_OUT.replace("SELECT symbol, mode", f"SELECT symbol, {TS}, mode")
+        + f" UNION ALL SELECT symbol, {TS}, mode, 0, 'none', 'insufficient data', CAST(0 AS DOUBLE), NULL, NULL"
+        " FROM panel CROSS JOIN modes WHERE pos < 20",
+    ),
+    "risk_panel": query(
+        PANEL_RECORD,
+        f"SELECT symbol, {TS}, mode, trend, status, CAST(total_score AS BIGINT) AS total_score, chip_concentration, price_patterns,"
+        " candle_patterns, vp_signals, "
+        + ", ".join(R.format(c) for c in ("stop_loss", "take_profit", "risk_reward", "position_size", "rsi", "adx"))
+        + " FROM analysis",
+    ),
     "support_resistance": query(
         record(),
         "SELECT symbol, round(support, 4) AS support, round(resistance, 4) AS resistance FROM full_record",

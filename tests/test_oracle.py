@@ -24,6 +24,9 @@ NAMES = [
     "panel_increment",
     "divergence_panel",
     "levels_panel",
+    "behavior_panel",
+    "dip_entry_panel",
+    "risk_panel",
     "score_panel",
     "structured_signals",
     "triggers",

@@ -13,7 +13,9 @@ from barframe.operators.increments import PanelState, extend, state_of
 from barframe.operators.indicators import CONTEXT, INDICATORS, full_history, latest_history
 from barframe.operators.latest import latest_rows
 from barframe.operators.pivots import add_divergences, add_levels
+from barframe.operators.record_panel import analysis_panel
 from barframe.operators.resample import weekly_from_daily
+from barframe.operators.signals import add_behavior, add_dip_entry
 from barframe.schema import BAR_SCHEMA, DAILY, HOURLY
 from barframe.sources.readers import read_bars_table, save_bars_table
 from tests import series_data as sd
@@ -142,3 +144,40 @@ def test_running_pivots_equal_the_latest_rule_at_each_cut(spark, segment_rows):
         for c in ("macd_divergence", "rsi_divergence", "obv_divergence"):
             assert getattr(mine, c) == r[c], (r["symbol"], c)
         assert abs(mine.support - r["support"]) < 1e-9 and abs(mine.resistance - r["resistance"]) < 1e-9
+
+
+@pytest.mark.parametrize("segment_rows", [90, 4096])
+def test_analysis_panel_equals_the_analysis_at_each_cut(spark, segment_rows):
+    """Walks, a flat series, one whose volume stops (its ratios stay the last known ones over segment borders) and a short one."""
+    quiet = [100.0 + i % 7 if i < 60 else 0.0 for i in range(230)]
+    rows = sd.bars("a", sd.walk(230, 1)) + sd.bars("q", sd.walk(230, 3), quiet) + sd.bars("f", [5.0] * 60, [1.0] * 60, spread=0) + sd.bars("s", sd.walk(12, 4))
+    history = full_history(spark.createDataFrame(rows, BAR_SCHEMA))
+    modes = ["short", "trend"]
+    panel = add_dip_entry(add_behavior(analysis_panel(history, modes, short_series=True, segment_rows=segment_rows)))
+    found = {(r["symbol"], r["n_bars"], r["mode"]): r for r in panel.collect()}
+    assert len(found) == 2 * len(rows)
+    early = [(f"{s}@{cut}", *r[1:]) for cut in (5, 12, 19, 20, 29, 30, 60, 91, 119, 170, 230) for s in "aqfs" for r in [x for x in rows if x[0] == s][:cut]]
+    latest = analyze(latest_history(spark.createDataFrame(early, BAR_SCHEMA), 10**6), modes, short_series=True)
+    checked = 0
+    for r in add_dip_entry(add_behavior(latest)).collect():
+        mine = found[r["symbol"][0], r["n_bars"], r["mode"]]
+        for c in panel.columns:
+            if c == "symbol":
+                continue
+            if isinstance(r[c], float):
+                assert mine[c] == pytest.approx(r[c], rel=1e-7, abs=1e-9), (r["symbol"], c)
+            elif c != "dip":
+                assert mine[c] == r[c], (r["symbol"], c)
+        assert (mine["dip"]["action"], mine["dip"]["score"]) == (r["dip"]["action"], r["dip"]["score"])
+        checked += 1
+    assert checked == 2 * len({e[0] for e in early})
+
+
+def test_patterns_of_every_bar_share_one_exchange(spark, bars):
+    """Over a table that is read, all of them run on the one exchange by segment."""
+    spark.createDataFrame([], full_history(bars).schema).write.mode("overwrite").saveAsTable("panel_of_a_test")
+    try:
+        text = plan(spark, running.add_patterns(spark.table("panel_of_a_test")))
+        assert text.count("Exchange") == text.count("Exchange hashpartitioning") == 1 and "Join" not in text
+    finally:
+        spark.sql("DROP TABLE panel_of_a_test")
