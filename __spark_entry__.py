@@ -25,6 +25,7 @@ from barframe.operators.record_panel import analysis_panel
 from barframe.operators.resample import weekly_from_daily, with_weekly_fallback
 from barframe.operators.scoring import add_score
 from barframe.operators.series import tail_bars
+from barframe.operators.sliding import add_windows
 from barframe.plans.insight import deep_insight, top_scores
 from barframe.schema import BAR, DAILY, HOURLY, TRADE_MODES, VIEWS, bars_kept
 from barframe.sources.fallback import choose_source, instrument_info, merge_notes
@@ -157,6 +158,15 @@ def _panel(*columns: str, stateful: bool = False, bars=fx.supplier_daily) -> Que
     return query
 
 
+def q_long_windows(spark, d):
+    """Extremes, mean and deviation over the last 250 and 1,000 daily bars of every nation."""
+    panel = full_history(fx.nation_daily(spark, d), False).select("symbol", "interval", "ts", "pos", "high", "low", "close")
+    rows = add_windows(panel, ["high", "low", "close"], [250, 1000], ("max", "min", "mean", "std"), min_periods=20)
+    # means of cents lie on halves of the last place shown; the close's ratio to them does not
+    rows = rows.withColumns({f"close_to_mean{n}": F.col("close") / F.col(f"close_mean{n}") for n in (250, 1000)})
+    return shown(rows, "symbol", "ts", *[f"{c}{n}" for n in (250, 1000) for c in ("high_max", "low_min", "close_std", "close_to_mean")])
+
+
 def q_score_panel(spark, d):
     panel = full_history(fx.supplier_daily(spark, d))
     return shown(add_score(panel), "symbol", "ts", "score")
@@ -501,6 +511,7 @@ def queries() -> dict[str, Query]:
         "flat_bars": _panel("plus_di", "minus_di", "cmf", "mfi", "rsi", stateful=True, bars=fx.nation_daily),
         "hourly_panel": _panel("ma20", "vol_ratio", "rsi", "macd_hist", stateful=True, bars=fx.event_bars),
         "panel_increment": q_panel_increment,
+        "long_windows": q_long_windows,
         "score_panel": q_score_panel,
         "candle_patterns": q_candle_patterns,
         "vp_signals": q_vp_signals,

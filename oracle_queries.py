@@ -766,6 +766,17 @@ ORACLES = {
         f"SELECT symbol, {TS}, round(support, 4) AS support, round(resistance, 4) AS resistance"
         " FROM panel JOIN levels USING (symbol, pos)",
     ),
+    "long_windows": query(
+        [F2],
+        f"SELECT symbol, {TS}, "
+        + ", ".join(
+            f"round(CASE WHEN row_number() OVER ({O}) >= 20 THEN {f} OVER ({O} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) END, 4)"
+            f" AS {name}{n}"
+            for n in (250, 1000)
+            for f, name in (("max(high)", "high_max"), ("min(low)", "low_min"), ("stddev_samp(close)", "close_std"), ("close / avg(close)", "close_to_mean"))
+        )
+        + " FROM f2",
+    ),
     "behavior_panel": query(
         PANEL_RECORD,
         BEHAVIOR.replace("SELECT symbol,", f"SELECT symbol, {TS},", 1).replace("(SELECT symbol,", "(SELECT symbol, ts,")

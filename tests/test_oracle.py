@@ -27,6 +27,7 @@ NAMES = [
     "behavior_panel",
     "dip_entry_panel",
     "risk_panel",
+    "long_windows",
     "score_panel",
     "structured_signals",
     "triggers",
