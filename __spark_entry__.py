@@ -194,6 +194,12 @@ def q_vp_signals(spark, d):
     return shown(sig.add_volume_price_signals(panel), "symbol", "ts", "vp_signals", "volume_means")
 
 
+def q_vp_texts(spark, d):
+    """Volume-price signals in words, with change and ratio, of every daily bar."""
+    panel = full_history(fx.supplier_daily(spark, d), False)
+    return shown(sig.add_volume_price_texts(sig.add_volume_price_signals(panel)), "symbol", "ts", "vp_texts")
+
+
 def q_triggers(spark, d):
     panel = full_history(fx.supplier_daily(spark, d), False)
     return shown(sig.add_trade_triggers(panel), "symbol", "ts", "triggers")
@@ -461,6 +467,42 @@ def q_report_context(spark, d):
     )
 
 
+def q_report_full(spark, d):
+    """The context of the short view in full, for suppliers and event types: record, view, scores, hourly and weekly readings, name, four
+    periods of figures, their trend, and news; fields read back from the text."""
+    info = instrument_info(fx.supplier_codes(spark, d).select("symbol"), fx.supplier_codes(spark, d))
+    latest = deep_insight(fx.mixed_bars(spark, d), "short", "short", instruments=info).latest
+    figures = _ttm(spark, d, 4)
+    context = out.report_context(
+        latest,
+        fundamentals=fund.figures_text(figures),
+        news=latest_news(fx.event_news(spark, d)),
+        names=info,
+        trend=fund.trend_summary(figures, "reported"),
+    )
+
+    def field(path: str, kind: str = "string"):
+        return F.get_json_object("context", f"$.{path}").cast(kind).alias(path.split(".")[-1])
+
+    doubles = "price stop_loss take_profit composite_score hourly_close hourly_vol_ratio weekly_close weekly_ma20".split()
+    return shown(
+        context.select(
+            "symbol",
+            "mode",
+            *[field(f"analysis.{c}") for c in ("view", "trend", "status")],
+            *[field(f"analysis.{c}", "bigint") for c in ("total_score", "score_daily", "score_weekly", "score_hourly")],
+            *[field(f"analysis.{c}", "double") for c in doubles],
+            field("instrument.name"),
+            *[field(f"trend.{c}") for c in ("revenue_trend", "net_income_trend", "roe_trend")],
+            F.json_array_length(F.get_json_object("context", "$.fundamentals")).cast("bigint").alias("n_periods"),
+            field("fundamentals[0].period").alias("first_period"),
+            field("fundamentals[0].revenue").alias("first_revenue"),
+            F.json_array_length(F.get_json_object("context", "$.news")).cast("bigint").alias("n_news"),
+            field("news[0].title").alias("first_title"),
+        )
+    )
+
+
 def q_top_scores(spark, d):
     return shown(top_scores(fx.supplier_daily(spark, d), PERIOD))
 
@@ -515,6 +557,7 @@ def queries() -> dict[str, Query]:
         "score_panel": q_score_panel,
         "candle_patterns": q_candle_patterns,
         "vp_signals": q_vp_signals,
+        "vp_texts": q_vp_texts,
         "triggers": q_triggers,
         "structured_signals": q_structured_signals,
         "divergence_panel": q_divergence_panel,
@@ -554,6 +597,7 @@ def queries() -> dict[str, Query]:
         "chart_feed": q_chart_feed,
         "hourly_chart_feed": q_hourly_chart_feed,
         "report_context": q_report_context,
+        "report_full": q_report_full,
         "top_scores": q_top_scores,
     }
 

@@ -121,10 +121,14 @@ def report_context(
     composite: DataFrame | None = None,
     fundamentals: DataFrame | None = None,
     news: DataFrame | None = None,
+    names: DataFrame | None = None,
+    trend: DataFrame | None = None,
 ) -> DataFrame:
     """One JSON text per symbol and mode with all that a written report draws on.
 
-    The newest four periods of ``fundamentals`` (symbol, period, ...) and the first five items of
+    ``analysis`` may be ``deep_insight(...).latest``, whose rows bring view, scores and the hourly and weekly readings along;
+    else ``composite`` adds them. ``names`` (symbol, name, ...) and ``trend`` (symbol and the words of ``fundamentals.trend_summary``) hold one row per
+    symbol. The newest four periods of ``fundamentals`` (symbol, period, ...) and the first five items of
     ``news`` (symbol, rank, ...) are gathered into arrays per symbol, cut before they are gathered.
     """
     if fundamentals is not None:
@@ -139,6 +143,10 @@ def report_context(
         packed = F.struct(*[c for c in composite.columns if c != "symbol"]).alias("scores")
         df = df.join(composite.select("symbol", packed), "symbol", "left")
         parts.append("scores")
+    for name, table in (("instrument", names), ("trend", trend)):
+        if table is not None:
+            df = df.join(table.select("symbol", F.struct(*[c for c in table.columns if c != "symbol"]).alias(name)), "symbol", "left")
+            parts.append(name)
     for name, table in (("fundamentals", fundamentals), ("news", news)):
         if table is not None:
             fields = [c for c in table.columns if c != "symbol"]

@@ -38,6 +38,19 @@ def add_volume_price_signals(df: DataFrame) -> DataFrame:
     )
 
 
+def add_volume_price_texts(df: DataFrame) -> DataFrame:
+    """``vp_texts``: each of ``vp_signals`` in words, rises and falls on volume with change and ratio, then the volume means."""
+    figures = f"concat({fixed(CHANGE, 2)}, '%, ratio ', {fixed('vol_ratio', 2)}, ')')"
+    words = (
+        f"case s when 'vol_up' then concat('up on volume (change ', {figures})"
+        f" when 'vol_down' then concat('down on volume (change ', {figures})"
+        " when 'vol_up_3' then 'volume up for three bars, strong momentum'"
+        " when 'up_on_low_vol' then 'up on thin volume, weak advance'"
+        " when 'down_on_high_vol' then 'down on heavy volume, selling pressure' end"
+    )
+    return df.selectExpr("*", f"array_compact(array_append(transform(vp_signals, s -> {words}), volume_means)) as vp_texts")
+
+
 def add_candle_patterns(df: DataFrame) -> DataFrame:
     body = "abs(close - open)"
     rules = fired(

@@ -206,6 +206,17 @@ VP = fired(
     (f"{CHANGE} > 0 AND vol_ratio < 0.8", "up_on_low_vol"),
     (f"{CHANGE} < 0 AND vol_ratio > 1.2", "down_on_high_vol"),
 )
+VP_FIGURES = f"printf('%.2f%%, ratio %.2f)', {CHANGE}, vol_ratio)"
+VP_WORDS = ", ".join(
+    f"CASE WHEN {rule} THEN {text} END"
+    for rule, text in (
+        (f"{CHANGE} > 0 AND vol_ratio > 1.2", f"'up on volume (change ' || {VP_FIGURES}"),
+        (f"{CHANGE} < 0 AND vol_ratio > 1.2", f"'down on volume (change ' || {VP_FIGURES}"),
+        ("vr3 > 1.2", "'volume up for three bars, strong momentum'"),
+        (f"{CHANGE} > 0 AND vol_ratio < 0.8", "'up on thin volume, weak advance'"),
+        (f"{CHANGE} < 0 AND vol_ratio > 1.2", "'down on heavy volume, selling pressure'"),
+    )
+)
 VOLUME_MEANS = " || ', ' || ".join(
     f"'MA{n}=' || coalesce(printf('%.0f', vol_ma{n}), 'nan')" for n in (5, 10, 20)
 )
@@ -750,6 +761,10 @@ ORACLES = {
         f"SELECT symbol, {TS}, CASE WHEN pos < 3 THEN '' ELSE {VP} END AS vp_signals,"
         f" CASE WHEN pos >= 3 THEN {VOLUME_MEANS} END AS volume_means FROM panel",
     ),
+    "vp_texts": query(
+        panel([F1], "f1", stateful=False),
+        f"SELECT symbol, {TS}, CASE WHEN pos < 3 THEN '' ELSE concat_ws('|', {VP_WORDS}, {VOLUME_MEANS}) END AS vp_texts FROM panel",
+    ),
     "triggers": query(
         panel([F1], "f1", stateful=False),
         f"SELECT symbol, {TS}, CASE WHEN pos < 20 THEN '' ELSE {TRIGGERS} END AS triggers FROM panel",
@@ -995,6 +1010,19 @@ FROM panel p LEFT JOIN full_record f USING (symbol, interval) WHERE p.pos > p.n_
     ),
 }
 
+ORACLES["report_full"] = f"""
+SELECT i.symbol, i.mode, i.view, i.trend, i.status, i.total_score, i.score_daily, i.score_weekly, i.score_hourly, i.price, i.stop_loss,
+  i.take_profit, i.composite_score, c.hourly_close, c.hourly_vol_ratio, c.weekly_close, c.weekly_ma20, n.name,
+  s.revenue_trend, s.net_income_trend, s.roe_trend, t.n_periods, t.first_period, t.first_revenue, w.n_news, w.first_title
+FROM ({ORACLES["insight_short"]}) i
+JOIN (SELECT * FROM ({ORACLES["composite"]}) WHERE view = 'short') c USING (symbol)
+LEFT JOIN ({ORACLES["instrument_info"]}) n USING (symbol)
+LEFT JOIN (SELECT * FROM ({ORACLES["fundamental_summary"]}) WHERE "order" = 'reported') s USING (symbol)
+LEFT JOIN (SELECT symbol, count(*) AS n_periods, min(period) AS first_period, arg_min(revenue, period) AS first_revenue
+           FROM ({ORACLES["fundamental_text"]}) GROUP BY symbol) t USING (symbol)
+LEFT JOIN (SELECT event_type AS symbol, least(count(*), 5) AS n_news, arg_max(props, (ts, -event_id)) AS first_title
+           FROM events GROUP BY event_type) w USING (symbol)"""
+
 
 def _half_up(sql: str) -> str:
     """``round(x, 4)`` spelled out as the Spark side does it."""

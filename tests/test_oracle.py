@@ -47,6 +47,9 @@ NAMES = [
     "score_vector",
     "chart_feed",
     "report_context",
+    "report_full",
+    "vp_signals",
+    "vp_texts",
 ]
 
 
