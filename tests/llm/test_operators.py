@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -13,6 +14,7 @@ from xxhash import xxh64_intdigest
 
 import corpus_pipeline
 from barframe.llm import digest, exact_dedup, langid, line_dedup, mixing, packing, queries, secret_scan, simhash, toxicity, url_filter
+from barframe.llm.common import shared_folder
 from tests.check_oracle import TABLES, differences, duck
 
 SF = "/root/testdata/sf0.001"
@@ -133,6 +135,20 @@ def test_exact_dedup_has_one_plan_at_every_size(spark, filter_rows):
     assert joins and not any("text" in line for line in joins)
 
 
+def test_a_cluster_must_name_a_shared_folder():
+    def session(master, named=None, chosen=None):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: chosen, setCheckpointDir=lambda path: folders.append(path))
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, other: named))
+
+    folders = []
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        shared_folder(session("spark://host:7077"))
+    shared_folder(session("spark://host:7077", "hdfs:/named"))
+    shared_folder(session("local[8]"))
+    assert folders[0] == "hdfs:/named" and len(folders) == 2
+    assert shared_folder(session("yarn", chosen="hdfs:/chosen")) == "hdfs:/chosen"
+
+
 def test_oracles(spark):
     TABLES.extend(t for t in ("documents", "pages", "labels") if t not in TABLES)
     con = duck(SF)
