@@ -16,7 +16,7 @@ from barframe.operators import running
 from barframe.operators import signals as sig
 from barframe.operators.analysis import analyze, pattern_record
 from barframe.operators.asof import composite_panel
-from barframe.operators.clean import clean_bars
+from barframe.operators.clean import clean_bars, rejected_bars
 from barframe.operators.cross import composite, last_bars, scores_by_interval, sector_heatmap
 from barframe.operators.increments import extend, state_of
 from barframe.operators.indicators import full_history, latest_history
@@ -65,6 +65,11 @@ def q_clean_bars(spark, d):
     return shown(clean_bars(fx.raw_event_rows(spark, d)), *BAR)
 
 
+def q_rejected_bars(spark, d):
+    """The raw rows that cleaning leaves out, each with its reason."""
+    return rejected_bars(fx.raw_event_rows(spark, d)).select("symbol", "interval", "date", "ingest_seq", "reason")
+
+
 def q_ticker_normalize(spark, d):
     codes = fx.supplier_codes(spark, d)
     return codes.select(
@@ -525,6 +530,7 @@ else:
 def queries() -> dict[str, Query]:
     return CORPUS_QUERIES | {
         "clean_bars": q_clean_bars,
+        "rejected_bars": q_rejected_bars,
         "ticker_normalize": q_ticker_normalize,
         "source_fallback": q_source_fallback,
         "source_notes": q_source_notes,

@@ -62,3 +62,21 @@ def clean_bars(raw: DataFrame, order: str = "ingest_seq") -> DataFrame:
         order,
     ).dropna("any", subset=["ts", *PRICES])
     return bars.groupBy(*SERIES, "ts").agg(*[F.max_by(c, order).alias(c) for c in PRICES])
+
+
+def rejected_bars(raw: DataFrame, order: str = "ingest_seq") -> DataFrame:
+    """The rows that ``clean_bars`` leaves out, as they came (under our headers), with a ``reason``.
+
+    The reason names the columns without a readable date or a finite number, joined by ``|``, or is ``superseded`` for a copy that a later
+    one replaced. With ``clean_bars`` each row of ``raw`` is counted once, if ``order`` differs between copies of a bar.
+    """
+    named = rename_headers(raw)
+    read = {"date": wall_clock(F.col("date").cast("string")), **{c: to_finite(c) for c in PRICES}}
+    faults = F.array_compact(F.array(*[F.when(v.isNull(), c) for c, v in read.items()]))
+    rows = named.withColumns({"_ts": read["date"], "_faults": faults})
+    whole = rows.where(F.size("_faults") == 0)
+    # the winner of a bar is found by an aggregation, combined before the exchange
+    winners = whole.groupBy(*SERIES, "_ts").agg(F.max(order).alias("_winner"))
+    replaced = whole.join(winners, [*SERIES, "_ts"]).where(~F.col(order).eqNullSafe(F.col("_winner")))
+    faulty = rows.where(F.size("_faults") > 0).withColumn("reason", F.array_join("_faults", "|"))
+    return faulty.select(*named.columns, "reason").unionByName(replaced.select(*named.columns, F.lit("superseded").alias("reason")))

@@ -680,6 +680,13 @@ ORACLES = {
         " round(CASE WHEN hour(ts) IN (1, 3, 4, 5, 6, 10) THEN close ELSE 7.25 END, 4) AS close,"
         " round(volume, 4) AS volume FROM f3",
     ),
+    "rejected_bars": query(
+        [F3],
+        "SELECT symbol, interval, CASE hour(ts) WHEN 1 THEN 'not a date' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS date,"
+        " CAST(CASE WHEN hour(ts) IN (1, 3, 4, 5, 6, 10) THEN 2 ELSE 1 END AS BIGINT) AS ingest_seq,"
+        " CASE hour(ts) WHEN 1 THEN 'date' WHEN 3 THEN 'open' WHEN 10 THEN 'open' WHEN 4 THEN 'high' WHEN 5 THEN 'low'"
+        " WHEN 6 THEN 'close' ELSE 'superseded' END AS reason FROM f3",
+    ),
     "ticker_normalize": query(
         [CODES],
         "SELECT symbol, ticker || CASE WHEN left(ticker, 2) IN ('60', '68') THEN '.SS'"

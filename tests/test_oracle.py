@@ -9,6 +9,7 @@ SF_DIR = "/root/testdata/sf0.001"
 # one of each family; tests/check_oracle.py runs them all
 NAMES = [
     "clean_bars",
+    "rejected_bars",
     "ticker_normalize",
     "source_fallback",
     "source_notes",
@@ -81,3 +82,16 @@ def test_short_and_long_series_at_every_size(spark, sf):
         assert differences(rows.toPandas(), con.execute(entry.oracle_sql()[name]).df()) is None, name
         symbols = rows.select("symbol").distinct().count()
         assert symbols == 100 and rows.where(short).select("symbol").distinct().count() == 50, name
+
+
+def test_each_raw_row_is_clean_or_rejected(spark):
+    """A row with several faults is one reject; a repeated good row beside a later one is superseded."""
+    from barframe.operators.clean import clean_bars, rejected_bars
+
+    good = ("a", "1d", "2024-01-02", "1", "2", "1", "1.5", "10")
+    rows = [(*good, 1), (*good, 2), ("a", "1d", "soon", "x", "2", "1", "1", "1", 3), ("b", "1d", None, "1", "2", "1", "NaN", "1", 1)]
+    raw = spark.createDataFrame(rows, "symbol string, interval string, Date string, Open string, high string, low string, close string, volume string, ingest_seq long")
+    out = rejected_bars(raw)
+    assert sorted((r["ingest_seq"], r["reason"]) for r in out.collect()) == [(1, "date|close"), (1, "superseded"), (3, "date|open")]
+    assert clean_bars(raw).count() + out.count() == len(rows)
+    assert rejected_bars(raw.limit(0)).count() == 0
