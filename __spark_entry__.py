@@ -29,7 +29,7 @@ from barframe.operators.sliding import add_windows
 from barframe.plans.insight import deep_insight, top_scores
 from barframe.schema import BAR, DAILY, HOURLY, TRADE_MODES, VIEWS, bars_kept
 from barframe.sources.fallback import choose_source, instrument_info, merge_notes
-from barframe.sources.readers import read_bars_table, save_bars_table, scan_window
+from barframe.sources.readers import read_bars_table, save_bars_table, scan_window, scan_windows
 from oracle_queries import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,6 +146,11 @@ def q_scan_window(spark, d):
     return shown(scan_window(fx.mixed_bars(spark, d), "1y", F.lit("2001-06-30").cast("date")))
 
 
+def q_scan_windows(spark, d):
+    """Three months of every supplier's bars, up to the day of its dearest line."""
+    return shown(scan_windows(fx.supplier_daily(spark, d), fx.supplier_days(spark, d), "3mo"), *BAR, "as_of")
+
+
 def q_stored_bars(spark, d):
     """All bars by way of a bucketed table of the catalog, read back by interval."""
     name = f"bars_{uuid.uuid4().hex}"
@@ -543,6 +548,7 @@ def queries() -> dict[str, Query]:
         "weekly_fallback": q_weekly_fallback,
         "bars_tail": q_bars_tail,
         "scan_window": q_scan_window,
+        "scan_windows": q_scan_windows,
         "stored_bars": q_stored_bars,
         "ma_set": _panel("ma5", "ma10", "ma20", "ma60", "ma120"),
         "volume_ratio": _panel(

@@ -53,6 +53,13 @@ def supplier_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def supplier_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A day per supplier, (symbol, as_of): of its line with the highest price, the latest of several."""
+    dearest = F.max(F.struct(F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"), F.col("l_shipdate").cast("date").alias("day")))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(dearest.alias("line"))
+    return lines.select(F.col("l_suppkey").cast("string").alias("symbol"), F.col("line.day").alias("as_of"))
+
+
 def nation_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars per nation: order totals, one unit of volume per order."""
     sales = table(spark, sf_dir, "orders").join(

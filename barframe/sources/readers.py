@@ -15,6 +15,8 @@ from barframe.schema import (
     PERIOD_BARS,
 )
 
+MONTH = "month"
+
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", **options: str) -> DataFrame:
     """Any format Spark reads. CSV and JSON keep text; ``clean_bars`` gives it types."""
@@ -43,6 +45,54 @@ def scan_window(bars: DataFrame, period: str, as_of: Column) -> DataFrame:
     )
 
 
+def month_of(ts: Column | str) -> Column:
+    """Months since the year 0: the partition a bar lies in."""
+    return (F.year(ts) * 12 + F.month(ts) - 1).cast("int")
+
+
+def scan_windows(bars: DataFrame, wanted: DataFrame, period: str) -> DataFrame:
+    """Bars that a look-back ``period`` can need, up to each symbol's own ``as_of``; with the column ``as_of``.
+
+    ``wanted`` has (symbol, as_of), dates (whole days) or times, one row per wanted window: a symbol may have
+    several. Repeated rows count once; rows without a symbol or an as_of, and symbols without bars, give
+    nothing.
+
+    First and last moment of all windows, one row, are found before the bars are read and skip files, and whole
+    partitions where the bars have a column ``month`` (``write_bars_by_month``); months between that no
+    window needs are skipped too where Spark sends the list of windows to the scan. Bars then meet their windows by (symbol,
+    month), so a key has at most a month of one symbol's bars.
+    """
+    days = PERIOD_BARS.get(period, DEFAULT_PERIOD_BARS)
+    if isinstance(wanted.schema["as_of"].dataType, DateType):
+        end = F.date_add("as_of", 1).cast("timestamp_ntz")
+    else:  # one microsecond later, so that the moment itself is included
+        end = F.col("as_of").cast("timestamp_ntz") + F.expr("interval '0.000001' second")
+    windows = (
+        wanted.select("symbol", "as_of").dropna().distinct().withColumns(
+            {
+                "_hourly_from": period_start(F.lit(HOURLY), F.col("as_of"), days),
+                "_from": period_start(F.lit(DAILY), F.col("as_of"), days),
+                "_end": end,
+            }
+        )
+    )
+    first = F.least("_hourly_from", "_from")
+    reach = windows.agg(F.min(first).alias("first"), F.max("_end").alias("end"))
+    low, high = reach.select("first").scalar(), reach.select("end").scalar()
+    near = bars.where((F.col("ts") >= low) & (F.col("ts") < high))
+    if MONTH in bars.columns:
+        near = near.where(F.col(MONTH).between(month_of(low), month_of(high)))
+    else:
+        near = near.withColumn(MONTH, month_of("ts"))
+    months = F.explode(F.sequence(month_of(first), month_of("_end")))
+    start = F.when(F.col("interval") == HOURLY, F.col("_hourly_from")).otherwise(F.col("_from"))
+    return (
+        near.join(windows.withColumn(MONTH, months), ["symbol", MONTH])
+        .where((F.col("ts") >= start) & (F.col("ts") < F.col("_end")))
+        .select(*BAR, "as_of")
+    )
+
+
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "overwrite") -> None:
     """Write a result as Parquet, for bars partitioned by interval."""
     writer = df.write.mode(mode)
@@ -55,6 +105,11 @@ def write_bars(bars: DataFrame, path: str, mode: str = "overwrite") -> None:
     write_table(bars.select(*BAR), path, ["interval"], mode)
 
 
+def write_bars_by_month(bars: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Bars partitioned by interval and month, so that a scan of some months reads no others."""
+    write_table(bars.select(*BAR, month_of("ts").alias(MONTH)), path, ["interval", MONTH], mode)
+
+
 def save_bars_table(bars: DataFrame, table: str, buckets: int = 64, mode: str = "overwrite") -> None:
     """Bars as a table of the catalog: partitioned by interval, bucketed by symbol and sorted by time within a symbol.
 

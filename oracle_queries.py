@@ -738,6 +738,15 @@ ORACLES = {
         f"SELECT {BAR_OUT} FROM mixed WHERE ts < TIMESTAMP '2001-07-01' AND ts >= TIMESTAMP '2001-06-30'"
         " - CASE interval WHEN '60m' THEN INTERVAL 40 DAY ELSE INTERVAL 408 DAY END",
     ),
+    "scan_windows": query(
+        [
+            F1,
+            "days AS (SELECT CAST(l_suppkey AS VARCHAR) AS symbol, CAST(l_shipdate AS DATE) AS as_of FROM lineitem QUALIFY row_number()"
+            " OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_shipdate DESC) = 1)",
+        ],
+        f"SELECT {BAR_OUT}, strftime(as_of, '%Y-%m-%d') AS as_of FROM f1 JOIN days USING (symbol)"
+        " WHERE ts < as_of + INTERVAL 1 DAY AND ts >= as_of - INTERVAL 165 DAY",
+    ),
     "ma_set": full("ma5", "ma10", "ma20", "ma60", "ma120"),
     "volume_ratio": full(
         "vol_ma5", "vol_ma10", "vol_ma20", "vol_ratio", "vol_ratio_high", "vol_ratio_low"

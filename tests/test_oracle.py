@@ -18,6 +18,7 @@ NAMES = [
     "stored_bars",
     "bars_tail",
     "scan_window",
+    "scan_windows",
     "volume_ratio",
     "obv",
     "macd",
