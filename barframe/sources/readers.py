@@ -9,6 +9,7 @@ from pyspark.sql.types import DateType
 from barframe.operators.resample import period_start
 from barframe.schema import (
     BAR,
+    BAR_SCHEMA,
     DAILY,
     DEFAULT_PERIOD_BARS,
     HOURLY,
@@ -16,6 +17,7 @@ from barframe.schema import (
 )
 
 MONTH = "month"
+MONTH_TYPE = f"{MONTH} int"
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", **options: str) -> DataFrame:
@@ -25,6 +27,15 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", **options:
     return spark.read.format(fmt).options(**options).load(path)
 
 
+def read_bars(spark: SparkSession, path: str, *more: str) -> DataFrame:
+    """Bars written by ``write_bars``, with ``more`` columns as "name type".
+
+    The types are named, as Spark would take a folder ``interval=1d`` for the number 1.0 where it finds no other interval.
+    """
+    columns = [f"{f.name} {f.dataType.simpleString()}" for f in BAR_SCHEMA]
+    return spark.read.schema(", ".join([*columns, *more])).parquet(path)
+
+
 def scan_window(bars: DataFrame, period: str, as_of: Column) -> DataFrame:
     """Bars a look-back period can need, up to ``as_of``; the bounds reach the file scan.
 
@@ -106,7 +117,7 @@ def write_bars(bars: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_bars_by_month(bars: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Bars partitioned by interval and month, so that a scan of some months reads no others."""
+    """Bars partitioned by interval and month, so that a scan of some months reads no others; ``read_bars`` with MONTH_TYPE reads them."""
     write_table(bars.select(*BAR, month_of("ts").alias(MONTH)), path, ["interval", MONTH], mode)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from barframe import fixtures as fx
 from barframe.schema import DAILY
-from barframe.sources.readers import month_of, read_table, scan_window, scan_windows, write_bars_by_month
+from barframe.sources.readers import MONTH_TYPE, month_of, read_bars, scan_window, scan_windows, write_bars, write_bars_by_month
 from tests.test_plans import plan
 
 SF = "/root/testdata/sf0.001"
@@ -18,7 +18,7 @@ SF = "/root/testdata/sf0.001"
 def stored(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("months") / "bars")
     write_bars_by_month(fx.mixed_bars(spark, SF), path)
-    return read_table(spark, path)
+    return read_bars(spark, path, MONTH_TYPE)
 
 
 def rows(df):
@@ -39,6 +39,13 @@ def test_equals_one_scan_per_window(spark, stored):
         assert got == sorted(want) and got
 
 
+def test_bars_of_one_interval_keep_its_name(spark, tmp_path):
+    daily = fx.supplier_daily(spark, SF)
+    write_bars(daily, str(tmp_path / "daily"))
+    back = read_bars(spark, str(tmp_path / "daily"))
+    assert rows(back.select(daily.columns)) == rows(daily)
+
+
 def test_odd_lists(spark, stored):
     """Nothing for rows without symbol or day, for unknown symbols and for empty lists or bars."""
     wanted = spark.createDataFrame([(None, dt.date(1996, 1, 1)), ("1", None), ("nobody", dt.date(1996, 1, 1))], "symbol string, as_of date")
