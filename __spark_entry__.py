@@ -405,6 +405,12 @@ def q_fundamental_ttm(spark, d):
     return shown(_ttm(spark, d).drop("gross_margin"))
 
 
+def q_fundamental_wide(spark, d):
+    """Trailing-year figures of statements that come as items by periods."""
+    lines = fund.statement_lines(fund.melt_statements(fx.wide_statements(spark, d)))
+    return shown(fund.trailing_year(lines).drop("gross_margin"))
+
+
 def q_fundamental_reported(spark, d):
     lines = fund.statement_lines(fx.supplier_statements(spark, d))
     share = "try_divide({}, {}) * 100D as {}"  # there is no gross margin: it comes out null
@@ -598,6 +604,7 @@ def queries() -> dict[str, Query]:
         "sector_heatmap": q_sector_heatmap,
         **{f"insight_{view}": _insight(view) for view in VIEWS},
         "fundamental_ttm": q_fundamental_ttm,
+        "fundamental_wide": q_fundamental_wide,
         "fundamental_reported": q_fundamental_reported,
         "fundamental_summary": q_fundamental_summary,
         "fundamental_text": q_fundamental_text,

@@ -215,6 +215,12 @@ def supplier_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("symbol", "period_end", "i.item", "i.value")
 
 
+def wide_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statements as filed: a row per supplier and item, a column per period, headed by its last day."""
+    long = supplier_statements(spark, sf_dir).withColumn("period_end", F.col("period_end").cast("string"))
+    return long.groupBy("symbol", "item").pivot("period_end").agg(F.max("value"))
+
+
 def event_news(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.col("event_type").alias("symbol"),

@@ -14,11 +14,18 @@ FIGURES = ["revenue", "net_income", "roe", "gross_margin", "debt_ratio"]
 
 
 def melt_statements(wide: DataFrame, item: str = "item") -> DataFrame:
-    """Items by periods, as filed, to (symbol, item, period_end, value)."""
+    """Items by periods, as filed, to (symbol, item, period_end, value).
+
+    A table of many symbols has the periods of all: one for which a symbol has no value at all is none of its own and left
+    out, other gaps are kept. The window holds the items of one statement and has the key by which
+    ``statement_lines`` groups, so both share an exchange.
+    """
     periods = [c for c in wide.columns if c not in ("symbol", item)]
-    return wide.unpivot(["symbol", item], periods, "period_end", "value").withColumn(
+    long = wide.unpivot(["symbol", item], periods, "period_end", "value").withColumn(
         "period_end", F.col("period_end").try_cast("date")
     )
+    filed = F.count("value").over(Window.partitionBy("symbol", "period_end"))
+    return long.withColumn("_filed", filed).filter("_filed > 0").drop("_filed")
 
 
 def statement_lines(statements: DataFrame) -> DataFrame:

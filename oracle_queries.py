@@ -1057,4 +1057,5 @@ def _half_up(sql: str) -> str:
     return sql
 
 
+ORACLES["fundamental_wide"] = ORACLES["fundamental_ttm"]  # the same statements in another form
 ORACLES = {name: _half_up(sql) for name, sql in ORACLES.items()}

@@ -43,6 +43,7 @@ NAMES = [
     "insight_short",
     "sector_heatmap",
     "fundamental_ttm",
+    "fundamental_wide",
     "fundamental_summary",
     "fundamental_reported",
     "news_top5",

@@ -349,6 +349,9 @@ def test_fundamentals(spark):
     assert back == {"g": ("declining", "unstable", "flat"), "f": ("declining", "insufficient", "down")}
     wide = spark.createDataFrame([("a", "Net Income", 1.0, 2.0)], "symbol string, item string, `2024-03-31` double, `2024-06-30` double")
     assert sorted(r.value for r in fund.melt_statements(wide).collect()) == [1.0, 2.0]
+    many = wide.unionByName(spark.createDataFrame([("b", "Net Income", None, 3.0), ("b", "Revenue", None, None)], wide.schema))
+    of_b = [r for r in fund.melt_statements(many).collect() if r.symbol == "b"]
+    assert sorted((r["item"], str(r.period_end), r.value) for r in of_b) == [("Net Income", "2024-06-30", 3.0), ("Revenue", "2024-06-30", None)]
 
 
 def test_news(spark):
