@@ -178,8 +178,8 @@ def _rolled(df: DataFrame, extra: list[str]) -> DataFrame:
         "close",
         "volume",
         "high20",
-        "close_moved",
-        "volume_moved",
+        "pos - coalesce(close_moved, 1) + 1 as close_run",
+        "pos - coalesce(volume_moved, 1) + 1 as volume_run",
         "c5",
         "v5",
         *_lagged("c5", 5, 10, 15),
@@ -200,8 +200,8 @@ def _rolled(df: DataFrame, extra: list[str]) -> DataFrame:
         "close",
         "volume",
         "high20",
-        "close_moved",
-        "volume_moved",
+        "close_run",
+        "volume_run",
         *[f"{x}5" for x in "cv"],
         *[f"{_joined(f'{x}5', 5)} as {x}10" for x in "cv"],
         *[f"{_joined(f'{x}5', 5, 10, 15)} as {x}20" for x in ("c", "v", "f", "nf")],
@@ -212,28 +212,26 @@ def _rolled(df: DataFrame, extra: list[str]) -> DataFrame:
     def mean(total: str, n: int, c: str, value: str | None = None) -> str:
         seen = f"least(pos, {n})"
         # an unchanged value is its own mean, free of rounding
-        flat = f"pos - coalesce({c}_moved, 1) + 1 >= {seen}"
+        flat = f"{c}_run >= {seen}"
         return f"if(pos < {max(2, n // 2)}, null, if({flat}, {value or c}, {total} / {seen}))"
 
+    # a level's code beyond 8,000 bytes is run interpreted, so what no later window reads waits for the level after
+    waits = ["close_run", "volume_run", "v5", "v10", "v20", "f20", "nf20", "tr14", "inflow14", "outflow14", "high20"]
+    waits += ["obv20"] if with_obv else []
     df = df.selectExpr(
         *SERIES,
         "ts",
         *PLACE,
         *extra,
         "rest",
-        "close",
-        "volume",
+        *waits,
         *[f"{mean(f'c{n}', n, 'close')} as ma{n}" for n in (5, 10, 20)],
         "c20",
-        "close_moved",
-        *[f"{mean(f'v{n}', n, 'volume')} as vol_ma{n}" for n in (5, 10, 20)],
-        "if(pos < 5, null, tr14 / least(pos, 14)) as atr",
+        "close",
+        "volume",
+        f"{mean('v20', 20, 'volume')} as vol_ma20",
         "if(pos < 5, null, try_divide(100D * plus_dm14, tr14)) as plus_di",
         "if(pos < 5, null, try_divide(100D * minus_dm14, tr14)) as minus_di",
-        "if(pos < 5 or nf20 < 5D, null, try_divide(f20, v20)) as cmf",
-        f"if(pos < 5, null, {_strength('inflow14', 'outflow14')}) as mfi",
-        "if(pos > 20, high20, null) as prev_high20",
-        *(["if(pos < 5, null, obv20 / least(pos, 20)) as obv_ma20"] if with_obv else []),
     )
     done = ["ma5", "ma10", "ma20", "vol_ma5", "vol_ma10", "vol_ma20", "atr", "plus_di", "minus_di", "cmf", "mfi"]
     done += ["bias", "prev_high20"] + (["obv_ma20"] if with_obv else [])
@@ -241,19 +239,21 @@ def _rolled(df: DataFrame, extra: list[str]) -> DataFrame:
         "*",
         "try_divide(volume, vol_ma20) as vol_ratio",
         "try_divide(abs(plus_di - minus_di), plus_di + minus_di) * 100D as dx",
-        "try_divide(close - ma20, ma20) * 100D as bias",
     ).selectExpr(
         *SERIES,
         "ts",
         *PLACE,
         *extra,
         "rest",
-        _pack("done", done),
+        # of columns alone, so that a query that needs a few gets the struct taken apart
+        _pack("waits", waits),
         "ma5",
         "ma10",
         "ma20",
+        "vol_ma20",
+        "plus_di",
+        "minus_di",
         "c20",
-        "close_moved",
         "vol_ratio",
         "dx",
         # the ratio moves around 1, so squares are taken from there
@@ -266,9 +266,14 @@ def _rolled(df: DataFrame, extra: list[str]) -> DataFrame:
         *PLACE,
         *extra,
         "rest",
-        "done",
+        "waits",
+        "ma5",
+        "ma10",
+        "ma20",
+        "vol_ma20",
+        "plus_di",
+        "minus_di",
         "vol_ratio",
-        "close_moved",
         "c20",
         *_lagged("c20", 20, 40),
         f"coalesce(sum(off) over {last_rows(5)}, 0D) as r5",
@@ -279,7 +284,18 @@ def _rolled(df: DataFrame, extra: list[str]) -> DataFrame:
         f"if(count(vol_ratio) over {last_rows(3)} = 3,"
         f" min(vol_ratio) over {last_rows(3)}, null) as vol_ratio_min3",
         *[f"lag(ma{n}) over {STEP_BACK} as prev_ma{n}" for n in (5, 10, 20)],
+    ).selectExpr(
+        "* except (waits)",
+        "waits.close_run as close_run",
+        *[f"{mean(f'waits.v{n}', n, 'waits.volume', 'rest.volume')} as vol_ma{n}" for n in (5, 10)],
+        "if(pos < 5, null, waits.tr14 / least(pos, 14)) as atr",
+        "if(pos < 5 or waits.nf20 < 5D, null, try_divide(waits.f20, waits.v20)) as cmf",
+        f"if(pos < 5, null, {_strength('waits.inflow14', 'waits.outflow14')}) as mfi",
+        "try_divide(rest.close - ma20, ma20) * 100D as bias",
+        "if(pos > 20, waits.high20, null) as prev_high20",
+        *(["if(pos < 5, null, waits.obv20 / least(pos, 20)) as obv_ma20"] if with_obv else []),
     )
+    df = df.selectExpr(f"* except ({', '.join(done)})", _pack("done", done))
     df = df.withColumn("c60", F.expr(_joined("c20", 20, 40))).selectExpr(
         *SERIES,
         "ts",
@@ -292,7 +308,7 @@ def _rolled(df: DataFrame, extra: list[str]) -> DataFrame:
         "prev_ma5",
         "prev_ma10",
         "prev_ma20",
-        "close_moved",
+        "close_run",
         "c60",
         *_lagged("c60", 60),
         *[x for c in "rqn" for x in (f"{c}5", *_lagged(f"{c}5", 5, 10, 15))],
@@ -306,12 +322,17 @@ def _rolled(df: DataFrame, extra: list[str]) -> DataFrame:
         "rest",
         _pack("done", ["done", "prev_ma5", "prev_ma10", "prev_ma20", "vol_ratio_min3"]),
         "vol_ratio",
-        "close_moved",
+        "close_run",
         "c60",
         f"{_joined('c60', 60)} as c120",
         *[f"{_joined(f'{c}5', 5, 10, 15)} as {c}20" for c in "rqn"],
         f"{_joined('d7', 7)} as d14",
         f"{_joined('nd7', 7)} as nd14",
+    ).selectExpr(
+        "* except (close_run, c60, c120, d14, nd14)",
+        f"{mean('c60', 60, 'close', 'rest.close')} as ma60",
+        f"{mean('c120', 120, 'close', 'rest.close')} as ma120",
+        "if(nd14 < 5D, null, d14 / nd14) as adx",
     )
     df = df.selectExpr("*", *[x for c in "rqn" for x in _lagged(f"{c}20", 20, 40)])
     df = df.selectExpr("*", *[f"{_joined(f'{c}20', 20, 40)} as {c}60" for c in "rqn"])
@@ -327,12 +348,12 @@ def _rolled(df: DataFrame, extra: list[str]) -> DataFrame:
         *extra,
         *[f"rest.{c} as {c}" for c in [*PRICES, "prev_close", "prev_open"]],
         *[f"done.done.{c} as {c}" for c in done],
-        f"{mean('c60', 60, 'close', 'rest.close')} as ma60",
-        f"{mean('c120', 120, 'close', 'rest.close')} as ma120",
+        "ma60",
+        "ma120",
         "vol_ratio",
         "coalesce(1D + centre + spread, 1.5D) as vol_ratio_high",
         "greatest(coalesce(1D + centre - spread, 0.8D), 0.3D) as vol_ratio_low",
-        "if(nd14 < 5D, null, d14 / nd14) as adx",
+        "adx",
         *[f"done.{c} as {c}" for c in ("vol_ratio_min3", "prev_ma5", "prev_ma10", "prev_ma20")],
     )
 
@@ -347,8 +368,8 @@ def _signal_line() -> str:
     return f"({mean_of_mean(A12, 'e12')}) - ({mean_of_mean(A26, 'e26')})"
 
 
-def _finish(df: DataFrame, stateful: bool, handed: dict[str, str] | None = None) -> DataFrame:
-    """Output columns; ``handed`` gives what earlier segments add to each state."""
+def _finish(df: DataFrame, stateful: bool, handed: dict[str, str] | None = None, carried: list[str] | None = None) -> DataFrame:
+    """Output columns; ``handed`` gives what earlier segments add to each state, ``carried`` names columns that stay."""
     names = [c for c in INDICATORS if stateful or c not in STATEFUL]
     if stateful:
         add = handed or {}
@@ -371,6 +392,7 @@ def _finish(df: DataFrame, stateful: bool, handed: dict[str, str] | None = None)
         "prev_close",
         "prev_open",
         *[f"if({enough}, {c}, null) as {c}" for c in [*names, *CONTEXT]],
+        *(carried or []),
     )
 
 
@@ -428,22 +450,49 @@ def full_history(
     segment_rows: int = SEGMENT_ROWS,
     lead_in: int = LEAD_IN,
     block: int = BLOCK,
+    known: list[str] | None = None,
 ) -> DataFrame:
     """Indicators over every bar of every series, however long.
 
     ``stateful=False`` leaves out OBV, RSI and MACD, which saves the pass that hands state from
-    segment to segment.
+    segment to segment. ``known`` names indicators whose last value up to each bar, from however far back, comes along
+    as ``known_<name>``; only series of several segments are read twice for it.
     """
-    moves = _bar_moves(segment_frame(bars, segment_rows, lead_in, block))
+    moves = _bar_moves(segment_frame(bars, segment_rows, lead_in, block, shared=stateful))
     if not stateful:
+        if known:
+            raise ValueError("last known values are handed on with the state")
         packed = moves.selectExpr(*SERIES, "ts", *PLACE, _pack("rest", REST))
         return _finish(_rolled(packed, []), False).filter("step > 0")
-    long_ones = _bar_moves(segment_frame(bars, segment_rows, lead_in, block, several_only=True))
+    long_ones = _bar_moves(segment_frame(bars, segment_rows, lead_in, block, several_only=True, shared=True))
     carry = _carried(_states(long_ones, block, ["close"]), segment_rows)
-    panel = _rolled(_states(moves, block, REST), ["obv", "state"])
-    panel = panel.join(carry, [*SERIES, "seg"], "left")
     handed = {"obv": "coalesce(c_obv, 0D)"}
     for k, a in STATES.items():
         level = "state.anchor" if k.startswith("e") else "0D"
         handed[k] = f"coalesce((c.{k} - {level}) * {decayed(a, 'cast(step as double)')}, 0D)"
-    return _finish(panel, True, handed).filter("step > 0")
+
+    # what needs no state is looked for before it is handed on: a level of its own keeps the code of both short
+    early = [c for c in known or [] if c not in STATEFUL]
+
+    def finished(moves: DataFrame) -> DataFrame:
+        panel = _rolled(_states(moves, block, REST), ["obv", "state"])
+        if early:
+            own = f"step > 0 and n_bars >= {MIN_BARS}"
+            panel = panel.selectExpr("*", *[f"last(if({own}, {c}, null), true) over {SO_FAR} as known_{c}" for c in early])
+        panel = panel.join(carry, [*SERIES, "seg"], "left")
+        return _finish(panel, True, handed, [f"known_{c}" for c in early]).filter("step > 0")
+
+    panel = finished(moves)
+    if not known:
+        return panel
+    before = _known_before(finished(long_ones), known)
+    panel = panel.selectExpr("*", *[f"last({c}, true) over {SO_FAR} as known_{c}" for c in known if c not in early])
+    panel = panel.join(before, [*SERIES, "seg"], "left")
+    return panel.withColumns({f"known_{c}": F.coalesce(f"known_{c}", f"_before_{c}") for c in known}).drop(*[f"_before_{c}" for c in known])
+
+
+def _known_before(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """What was last known of the columns before each segment: one row per segment."""
+    ends = rows.groupBy(*SERIES, "seg").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("pos"))).alias(c) for c in columns])
+    by_seg = "(partition by symbol, interval order by seg rows between unbounded preceding and 1 preceding)"
+    return ends.selectExpr(*SERIES, "seg", *[f"last({c}, true) over {by_seg} as _before_{c}" for c in columns])

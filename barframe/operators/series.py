@@ -130,21 +130,44 @@ def segment_map(bars: DataFrame, rows: int = SEGMENT_ROWS, lead_in: int = LEAD_I
     )
 
 
+def sealed(df: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """The columns as one array of one struct, which the optimiser does not take apart.
+
+    Two uses of a table that read different columns of it make Spark compute it twice, each with its own columns; sealed
+    columns travel together, so both uses share one exchange.
+    """
+    packed = F.array(F.struct(*columns)).alias(name)
+    return df.select(*[c for c in df.columns if c not in columns], packed)
+
+
+def opened(df: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """The columns of ``sealed`` again."""
+    return df.select(*[c for c in df.columns if c != name], *[F.element_at(name, 1)[c].alias(c) for c in columns])
+
+
 def segment_frame(
     bars: DataFrame,
     rows: int = SEGMENT_ROWS,
     lead_in: int = LEAD_IN,
     block: int = BLOCK,
     several_only: bool = False,
+    shared: bool = False,
 ) -> DataFrame:
-    """Frame of all bars. ``several_only`` leaves out series that fit one segment."""
+    """Frame of all bars. ``several_only`` leaves out series that fit one segment.
+
+    With ``shared`` the frames of all series and of the long ones read the bars by one exchange.
+    """
     where = segment_map(bars, rows, lead_in)
     if several_only:
         where = where.filter(F.col("n_segs") > 1)
+    dealt = bars.withColumn("bucket", _bucket())
+    if shared:
+        dealt = sealed(dealt, [c for c in bars.columns if c not in SERIES], "_bar")
+    out = dealt.join(where, [*SERIES, "bucket"])
+    if shared:
+        out = opened(out, [c for c in bars.columns if c not in SERIES], "_bar")
     out = (
-        bars.withColumn("bucket", _bucket())
-        .join(where, [*SERIES, "bucket"])
-        .drop("bucket")
+        out.drop("bucket")
         .withColumn("_s", F.explode("segs"))
         .withColumns({"seg": F.col("_s.seg"), "_seg_before": F.col("_s.seg_before")})
         .withColumn("_lead", (F.col("own_seg") < F.col("seg")).cast("int"))
