@@ -51,9 +51,9 @@ def _last(rows: DataFrame) -> DataFrame:
 
 def state_of(bars: DataFrame, segment_rows: int = SEGMENT_ROWS, block: int = BLOCK, salts: int = SALTS) -> PanelState:
     """The state that a whole history leaves."""
-    moved = ind._bar_moves(segment_frame(bars, segment_rows, 1, block))
+    moved = ind._bar_moves(segment_frame(bars, segment_rows, 1, block, shared=True))
     states = ind._states(moved, block, ["close"])
-    long_ones = ind._bar_moves(segment_frame(bars, segment_rows, 1, block, several_only=True))
+    long_ones = ind._bar_moves(segment_frame(bars, segment_rows, 1, block, several_only=True, shared=True))
     carry = ind._carried(ind._states(long_ones, block, ["close"]), segment_rows)
     at_end = states.withColumn("_most", F.max("step").over(Window.partitionBy(*SERIES, "seg"))).where("step = _most")
     ends = _levels(at_end.join(carry, [*SERIES, "seg"], "left"))
