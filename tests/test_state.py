@@ -11,7 +11,7 @@ from barframe.operators.asof import composite_panel, last_known
 from barframe.operators.cross import composite, scores_by_interval
 from barframe.operators.increments import PanelState, extend, state_of
 from barframe.operators.indicators import CONTEXT, INDICATORS, full_history, latest_history
-from barframe.operators.latest import latest_rows
+from barframe.operators.latest import GAPPED, latest_rows
 from barframe.operators.pivots import add_divergences, add_levels
 from barframe.operators.record_panel import analysis_panel
 from barframe.operators.resample import weekly_from_daily
@@ -181,3 +181,34 @@ def test_patterns_of_every_bar_share_one_exchange(spark, bars):
         assert text.count("Exchange") == text.count("Exchange hashpartitioning") == 1 and "Join" not in text
     finally:
         spark.sql("DROP TABLE panel_of_a_test")
+
+
+def test_known_values_of_the_history_equal_the_as_of_join(spark):
+    """Long gaps over the history's own segments: the last known values come along from however far back."""
+    quiet = [100.0 + i % 7 if i < 60 else 0.0 for i in range(230)]
+    flat = [*sd.walk(60, 5), *[7.0] * 170]
+    rows = sd.bars("a", sd.walk(230, 1)) + sd.bars("q", sd.walk(230, 3), quiet) + sd.bars("f", flat, spread=0) + sd.bars("s", sd.walk(12, 4))
+    df = spark.createDataFrame(rows, BAR_SCHEMA)
+    known = [f"known_{c}" for c in GAPPED]
+    plain = full_history(df, segment_rows=40)
+    want = last_known(plain.withColumns({f"known_{c}": F.col(c) for c in GAPPED}), ["symbol", "interval"], ["ts"], known)
+    got = full_history(df, segment_rows=40, known=GAPPED)
+    want, got = (x.select("symbol", "pos", *known).orderBy("symbol", "pos").toPandas() for x in (want, got))
+    pd.testing.assert_frame_equal(got, want, rtol=1e-9, atol=1e-9)
+    assert (got.known_vol_ratio.notna() & plain.orderBy("symbol", "pos").toPandas().vol_ratio.isna()).any()
+
+
+def test_bars_and_panels_are_computed_once(spark, tmp_path):
+    path = str(tmp_path / "bars")
+    rows = sd.bars("a", sd.walk(60, 1)) + sd.bars("a", sd.walk(60, 2), interval="60m")
+    spark.createDataFrame(rows, BAR_SCHEMA).write.parquet(path)
+    bars = spark.read.parquet(path)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        # counts by bucket, and the bars of all and of long series by one exchange
+        assert plan(spark, full_history(bars)).count("FileScan") == 2
+        assert plan(spark, analysis_panel(full_history(bars, known=GAPPED), ["short"])).count("FileScan") == 2
+        # rows and what their spans leave behind come from one exchange
+        assert plan(spark, composite_panel(bars, "short")).count("FileScan") == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
