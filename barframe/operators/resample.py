@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barframe.operators.series import opened, sealed
 from barframe.schema import BAR, DAILY, HOURLY, WEEKLY
 
 WEEKLY_NOTE = "weekly bars resampled from daily"
@@ -86,18 +87,21 @@ def weekly_from_daily(daily: DataFrame) -> DataFrame:
 
 
 def with_weekly_fallback(
-    bars: DataFrame, min_weekly: int = 20, min_daily: int = 80
+    bars: DataFrame, min_weekly: int = 20, min_daily: int = 80, shared: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """Replace thin native weekly bars by resampled daily ones.
 
     Returns the bars and a (symbol, note) table of the symbols it was done for. Daily bars are
     combined into weeks where they lie; what a symbol has is counted over its weekly rows, of
     which there are some 52 a year, so no bars are joined and no task gets all daily bars of a symbol.
+    With ``shared`` a query over both tables makes the weekly rows once, whole; else each is read for its own columns.
     """
     native = bars.filter(F.col("interval") == WEEKLY).select(*BAR, F.lit(0).cast("bigint").alias("n_days"))
     made = _weeks(bars.filter(F.col("interval") == DAILY))
     own = Window.partitionBy("symbol")
-    weekly = made.unionByName(native).select(
+    weekly = made.unionByName(native).withColumn("_named", F.col("symbol"))
+    rest = [c for c in weekly.columns if c not in ("symbol", "n_days")]
+    weekly = (sealed(weekly, rest, "_bar") if shared else weekly).select(
         "*",
         F.sum("n_days").over(own).alias("n_daily"),
         F.count(F.when(F.col("n_days") == 0, 1)).over(own).alias("n_weekly"),
@@ -105,7 +109,10 @@ def with_weekly_fallback(
     thin = (F.col("n_weekly") < min_weekly) & (F.col("n_daily") >= min_daily)
     chosen = weekly.filter(F.when(F.col("n_days") > 0, thin).otherwise(~thin))
     kept = bars.filter(F.col("interval").isNull() | (F.col("interval") != WEEKLY)).select(*BAR)
-    notes = weekly.filter(thin).select("symbol").distinct().withColumn("note", F.lit(WEEKLY_NOTE))
+    named = weekly.filter(thin)
+    if shared:  # the name is read from the sealed rows too, as a filter on symbol, as joins add, would make them anew
+        chosen, named = opened(chosen, rest, "_bar"), opened(named, rest, "_bar")
+    notes = named.select(F.col("_named").alias("symbol")).distinct().withColumn("note", F.lit(WEEKLY_NOTE))
     return kept.unionByName(chosen.select(*BAR)), notes
 
 

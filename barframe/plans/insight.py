@@ -45,7 +45,7 @@ def deep_insight(
     period = period or VIEWS[view][0]
     if as_of is not None:
         bars = scan_window(bars, period, as_of)
-    bars, notes = with_weekly_fallback(bars)
+    bars, notes = with_weekly_fallback(bars, shared=True)
     # hourly bars keep 320 whatever the period
     history = latest_history(bars, bars_kept(period))
     latest = _latest(history, view, mode, instruments)

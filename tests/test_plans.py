@@ -6,6 +6,7 @@ from barframe.operators.analysis import analyze
 from barframe.operators.cross import composite, scores_by_interval
 from barframe.operators.indicators import full_history, latest_history
 from barframe.operators.resample import with_weekly_fallback
+from barframe.operators.series import tail_bars
 from barframe.plans.insight import deep_insight
 from barframe.schema import BAR_SCHEMA, VIEWS, bars_kept
 from tests import series_data as sd
@@ -80,3 +81,19 @@ def test_insight_reads_the_bars_once(spark, bars):
     alone = plan(spark, analyze(latest_history(with_weekly_fallback(bars)[0], bars_kept("3mo"))))
     assert text.count("Exchange hashpartitioning") == alone.count("Exchange hashpartitioning") + 1
     assert text.count("Window [") > 0 and "Join" not in text
+
+
+def test_notes_and_latest_make_the_weekly_rows_once(spark, bars):
+    """The join of both scans no more than the last bars alone; Spark adds a filter on the joined side's symbol."""
+    out = deep_insight(bars)
+    text, alone = plan(spark, out.latest.join(out.notes, "symbol", "left")), plan(spark, out.latest)
+    assert text.count("FileScan") == alone.count("FileScan") > 0
+    assert "ReusedExchange" in text
+
+
+def test_first_round_of_a_cut_keeps_what_its_interval_does(spark, bars):
+    """Its own number for each interval is asked for before the bars are exchanged a second time."""
+    text = plan(spark, tail_bars(bars, bars_kept("3mo")))
+    first, second = text.rindex("Exchange hashpartitioning"), text.index("Exchange hashpartitioning")
+    assert first > second
+    assert "no number of bars to keep" in text[second:first]
