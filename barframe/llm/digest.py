@@ -49,6 +49,8 @@ LEVELS = 1000
 #: Texts are worked on in parts of so many bytes, with overlaps.
 PART = 1 << 20
 
+#: Bits of a window's place, below its rank.
+_PLACE = 40
 #: Widths up to this count equal bytes by comparing all neighbours.
 _NARROW = 16
 _COUNT = np.arange(WIDTH + 1, dtype=np.float64)
@@ -72,8 +74,10 @@ def _levels(data: np.ndarray, width: int = WIDTH) -> np.ndarray:
         key = data[order].astype(np.int64) * (2 * n + 4 * width) + order
         place = np.arange(n)
         before, after = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
-        before[order] = place - np.searchsorted(key, key - width + 1) + 1
-        after[order] = np.searchsorted(key, key + width) - place
+        end = np.searchsorted(key, key + width)
+        after[order] = end - place
+        # those that a byte has out of reach behind it are those whose reach ends at it or before
+        before[order] = place - np.cumsum(np.bincount(end, minlength=n + 1))[:n] + 1
     change = _GAIN[before]
     change[width:] -= _GAIN[after[: n - width]]
     total = np.cumsum(change)[width - 1 :]
@@ -106,16 +110,16 @@ def ranks(counts: np.ndarray) -> np.ndarray:
 def _popular(rank: np.ndarray, run: int = RUN, popular: int = POPULAR) -> np.ndarray:
     """Places of the windows that win at least that many runs; the best one if none does."""
     n = len(rank)
-    key = rank * n + np.arange(n)
+    key = (rank << _PLACE) | np.arange(n)
     runs = max(1, n - run + 1)
     best, have = key, 1
     while have < min(run, n):
         step = min(have, min(run, n) - have)
         best = np.minimum(best[: len(best) - step], best[step:])
         have += step
-    wins = np.bincount(best[:runs] % n, minlength=n)
+    wins = np.bincount(best[:runs] & ((1 << _PLACE) - 1), minlength=n)
     found = np.nonzero(wins >= popular)[0]
-    return found if len(found) else np.array([int(key.argmin() % n)])
+    return found if len(found) else np.array([int(key.argmin())])
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:

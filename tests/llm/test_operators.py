@@ -508,3 +508,22 @@ def test_toxicity_bound_of_segments():
     examples = [(f"some plain words {'vile ' * (i % 2)} and more {chr(97 + i % 26)}{chr(97 + i // 26)}q", i % 2) for i in range(80)]
     whole, same, few = (toxicity.train(examples, **kw) for kw in ({}, {"segments": toxicity.SEGMENTS}, {"segments": 3}))
     assert (whole.weights == same.weights).all() and np.count_nonzero(few.weights) < np.count_nonzero(whole.weights)
+
+
+def test_digest_levels_equal_plain_counts_with_one_search(monkeypatch):
+    """Levels of 64-byte windows beside a plain count of each window; places are searched once, not forwards and backwards."""
+    from collections import Counter
+    from math import log2
+
+    import numpy as np
+
+    from barframe.llm import digest
+
+    data = np.random.default_rng(5).integers(97, 105, 700).astype(np.uint8)
+    data[200:300] = 120
+    calls, search = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda *a, **k: calls.append(1) or search(*a, **k))
+    got = digest._levels(data, 64)
+    entropies = [-sum(n / 64 * log2(n / 64) for n in Counter(data[i : i + 64].tolist()).values()) for i in range(len(data) - 63)]
+    assert np.abs(got - np.array(entropies) * digest.LEVELS / 6).max() <= 0.5 + 1e-6
+    assert len(calls) == 1
