@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from barframe.llm.common import checkpointed, components
+from barframe.llm.common import checkpointed, components, sent_if_small
 
 MULTIPLIER = 0x9E3779B97F4A7C15
 FLUSH = 200_000
@@ -431,15 +431,25 @@ def _with_roots(rows: DataFrame, roots: DataFrame, node: str, root: str) -> Data
     return rows.join(found, node, "left").withColumn(root, F.coalesce("_root", node)).drop("_root")
 
 
-def resolved(pairs: DataFrame, sets: DataFrame, rules: Settings) -> DataFrame:
-    """Links (a, b) that connect the same nodes as all alike pairs do: each node's first partner is verified, then all
-    pairs that are still apart."""
+def joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows (node, root) after more links (a, b): only what they join is counted anew, root by root, not all links."""
+    apart = _with_roots(_with_roots(links, roots, "a", "root_a"), roots, "b", "root_b").where("root_a <> root_b")
+    grown = components(apart, "root_a", "root_b")
+    new = grown.join(roots, "node", "left_anti")
+    onto = grown.select(F.col("node").alias("root"), F.col("root").alias("onto"))
+    moved = roots.join(onto, "root", "left").select("node", F.coalesce("onto", "root").alias("root"))
+    return checkpointed(moved.unionByName(new))
+
+
+def resolved(pairs: DataFrame, sets: DataFrame, rules: Settings, roots: DataFrame | None = None) -> DataFrame:
+    """Rows (node, root) of the nodes that alike pairs connect, beside what ``roots`` has connected: each node's first
+    partner is verified, then all pairs that are still apart."""
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = checkpointed(verified(first, sets, rules))
-    roots = components(links)
+    roots = components(links) if roots is None else joined_roots(roots, links)
     rest = _with_roots(_with_roots(pairs, roots, "a", "root_a"), roots, "b", "root_b").where("root_a <> root_b")
     rest = checkpointed(rest.select("a", "b").join(first, ["a", "b"], "left_anti"))
-    return links if rest.isEmpty() else checkpointed(links.union(verified(rest, sets, rules)))
+    return roots if rest.isEmpty() else joined_roots(roots, checkpointed(verified(rest, sets, rules)))
 
 
 def _as_pairs(met: DataFrame) -> DataFrame:
@@ -484,11 +494,12 @@ def crowded_index(crowd: DataFrame, rules: Settings) -> DataFrame:
     return rows.drop("rank").join(first, "key")
 
 
-def crowded_rest(shared: DataFrame, links: DataFrame, rules: Settings) -> DataFrame:
-    """Pairs of crowded sets that meet under a key, can be alike and that no links connect."""
-    rooted = checkpointed(_with_roots(shared.drop("c_node", "c_at"), components(links), "node", "root"))
+def crowded_rest(shared: DataFrame, roots: DataFrame, rules: Settings) -> DataFrame:
+    """Pairs of crowded sets that meet under a key, can be alike and have different roots."""
+    rooted = _with_roots(shared.drop("c_node", "c_at"), sent_if_small(roots), "node", "root")
     several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    rooted = rooted.join(several, "key", "left_semi")
+    # only rows of keys that hold several components are written again
+    rooted = checkpointed(rooted.join(sent_if_small(checkpointed(several)), "key", "left_semi"))
     other = rooted.select("key", *[F.col(c).alias(f"x_{c}") for c in ("node", "at", "root")])
     met = rooted.join(other, "key").where("x_node < node and x_root <> root").where(rules.possible("at", "x_at"))
     return _as_pairs(met)
@@ -521,12 +532,12 @@ def near_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     shared = checkpointed(crowded_index(checkpointed(sets.where("crowded").dropDuplicates(["node"])), rules))
     star = shared.where("node <> c_node").where(rules.possible("at", "c_at"))
     star = checkpointed(star.select(F.col("c_node").alias("a"), F.col("node").alias("b")).distinct())
-    links = resolved(pairs.union(star), sets, rules)
-    rest = checkpointed(crowded_rest(shared, links, rules).join(star, ["a", "b"], "left_anti"))
+    roots = resolved(pairs.union(star), sets, rules)
+    rest = checkpointed(crowded_rest(shared, roots, rules).join(star, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        links = links.union(resolved(rest, sets, rules))
+        roots = resolved(rest, sets, rules, roots)
 
-    grouped = components(links).join(nodes, "node").select("node", "root", "id")
+    grouped = roots.join(nodes, "node").select("node", "root", "id")
     smallest = grouped.groupBy("root").agg(F.min("id").alias("least"))
     of_node = nodes.select("node", "id").join(grouped.join(smallest, "root").select("node", "least"), "node", "left")
     of_node = checkpointed(of_node.select("node", F.coalesce("least", "id").alias("component_id")))

@@ -245,3 +245,53 @@ def test_sets_in_pieces_and_batches():
     assert (jaccard.tokens("ONE two three four five six") == jaccard.tokens("one two three\nfour five six")).all()
     assert len(np.intersect1d(jaccard.tokens("ab c d e f"), jaccard.tokens("a bc d e f"))) == 0
     assert [len(s) for s in large[-5:]] == [0, 0, 2, 2, 1]
+
+
+def test_later_links_join_components(spark):
+    """Chains joined by later links, new nodes and links within a component, beside all links counted at once."""
+    from barframe.llm.common import components
+
+    old = spark.createDataFrame([(9, 8), (8, 7), (5, 4), (3, 2)], "a long, b long")
+    new = spark.createDataFrame([(9, 5), (7, 9), (20, 21), (21, 3), (30, 31)], "a long, b long")
+    got = {r.node: r.root for r in jaccard.joined_roots(components(old), new).collect()}
+    assert got == {r.node: r.root for r in components(old.union(new)).collect()} and got[9] == 4 and got[20] == 2 and got[31] == 30
+
+
+def test_crowded_rest_writes_only_keys_of_several_components(spark, monkeypatch):
+    """Of 500 rows under keys of one component and 2 under a key of two, only the latter and their key are written again."""
+    rows = [(k, 10 + i, 1, 10, 1) for k in range(50) for i in range(10)] + [(99, 10, 1, 10, 1), (99, 70, 1, 10, 1)]
+    shared = spark.createDataFrame(rows, "key long, node long, at long, c_node long, c_at long")
+    roots = spark.createDataFrame([(10 + i, 10) for i in range(10)], "node long, root long")
+    written, write = [], jaccard.checkpointed
+
+    def counting(df):
+        out = write(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "checkpointed", counting)
+    rules = jaccard.Settings()
+    monkeypatch.setattr(jaccard.Settings, "possible", lambda *_: F.lit(True))
+    assert [tuple(r) for r in jaccard.crowded_rest(shared, roots, rules).collect()] == [(10, 70)]
+    assert sum(written) == 3
+
+
+def test_few_edges_lie_in_few_partitions(spark, monkeypatch):
+    """Components of a long path, a star and a loop by rounds of few partitions and, with none counted as few, by exchanges."""
+    from barframe.llm import common
+
+    edges = [(k, k + 1) for k in range(100, 140)] + [(200, 200 + k) for k in range(1, 30)] + [(5, 6), (6, 7), (7, 5), (9, 9)]
+    links = spark.createDataFrame(edges, "a long, b long").repartition(23)
+    parts, write = [], common.checkpointed
+
+    def counting(df):
+        out = write(df)
+        parts.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(common, "checkpointed", counting)
+    want = {n: 100 for n in range(100, 141)} | {200 + k: 200 for k in range(30)} | {5: 5, 6: 5, 7: 5}
+    assert {r.node: r.root for r in common.components(links).collect()} == want
+    assert len(parts) > 2 and max(parts[1:]) == 1
+    monkeypatch.setattr(common, "FEW_EDGES", -1)
+    assert {r.node: r.root for r in common.components(links).collect()} == want
