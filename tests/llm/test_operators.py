@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 from types import SimpleNamespace
 
 import numpy as np
@@ -527,3 +528,18 @@ def test_digest_levels_equal_plain_counts_with_one_search(monkeypatch):
     entropies = [-sum(n / 64 * log2(n / 64) for n in Counter(data[i : i + 64].tolist()).values()) for i in range(len(data) - 63)]
     assert np.abs(got - np.array(entropies) * digest.LEVELS / 6).max() <= 0.5 + 1e-6
     assert len(calls) == 1
+
+
+def test_repeated_lines_store_little(spark):
+    """What is written on the way to disk is below 200 bytes a line."""
+    rng = np.random.default_rng(5)
+    vocabulary = ["".join(chr(97 + int(c)) for c in rng.integers(0, 26, 6)) for _ in range(3000)]
+    lines = [" ".join(vocabulary[int(k)] for k in rng.integers(0, 3000, 12)) for _ in range(8000)]
+    rows = [(i, "\n".join([*lines[i * 20 : i * 20 + 20], lines[i * 7] + " end"])) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = {f for f in folder.rglob("*") if f.is_file()}
+    gone = line_dedup.repeated_lines(df, smallest=4).collect()
+    assert len(gone) > 380 and {(r["id"], r["place"]) for r in gone} <= {(i, 20) for i in range(400)}
+    written = sum(f.stat().st_size for f in folder.rglob("*") if f.is_file() and f not in before)
+    assert written < 200 * 400 * 21
