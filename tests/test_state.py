@@ -198,6 +198,34 @@ def test_known_values_of_the_history_equal_the_as_of_join(spark):
     assert (got.known_vol_ratio.notna() & plain.orderBy("symbol", "pos").toPandas().vol_ratio.isna()).any()
 
 
+def test_series_of_one_segment_keep_the_exchange_of_their_indicators(spark, bars):
+    """Their levels and patterns run on it; only the panel's rows of longer series are dealt anew."""
+    text = plan(spark, analysis_panel(full_history(bars, known=GAPPED), ["short"]))
+    windows = [line for line in text.splitlines() if "Window [" in line and "_mid_low" in line]
+    assert len(windows) == 2
+    assert ", seg#" in windows[0] and "_part#" not in windows[0].split("], [")[1]
+    assert "_part#" in windows[1]
+
+
+def test_record_of_single_and_several_segments_equals_the_plain_panel(spark):
+    """Series of one, just one, two and three segments of the history."""
+    quiet = [100.0 + i % 7 if i < 60 else 0.0 for i in range(230)]
+    rows = sd.bars("a", sd.walk(130, 1)) + sd.bars("e", sd.walk(100, 6)) + sd.bars("q", sd.walk(230, 3), quiet) + sd.bars("s", sd.walk(12, 4))
+    df = spark.createDataFrame(rows, BAR_SCHEMA)
+    history = full_history(df, segment_rows=100, known=GAPPED)
+    parts = {(r["symbol"], r["whole"]) for r in history.select("symbol", "whole").distinct().collect()}
+    assert parts == {("a", False), ("e", True), ("q", False), ("s", True)}
+    got, want = (
+        add_dip_entry(add_behavior(analysis_panel(h, ["short", "trend"], short_series=True, segment_rows=n))).orderBy("symbol", "n_bars", "mode").toPandas()
+        for h, n in ((history, 90), (full_history(df), 4096))
+    )
+    assert len(got) == 2 * len(rows) and list(got.columns) == list(want.columns)
+    numbers = list(want.select_dtypes("number").columns)
+    pd.testing.assert_frame_equal(got[numbers], want[numbers], rtol=1e-9, atol=1e-9)
+    rest = [c for c in want.columns if c not in numbers and c != "dip"]
+    pd.testing.assert_frame_equal(got[rest].astype(str), want[rest].astype(str))
+
+
 def test_bars_and_panels_are_computed_once(spark, tmp_path):
     path = str(tmp_path / "bars")
     rows = sd.bars("a", sd.walk(60, 1)) + sd.bars("a", sd.walk(60, 2), interval="60m")
