@@ -124,6 +124,18 @@ def test_last_known_over_spans(spark):
         }
 
 
+def test_composite_panel_makes_bars_and_weeks_once(spark):
+    """Of bars that come from trades: daily ones, their weeks and the counts of both read the same exchanges."""
+    bars = fx.supplier_daily(spark, SF)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        panel = composite_panel(bars.unionByName(weekly_from_daily(bars)), "short")
+        text = plan(spark, panel)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert text.count("FileScan") == 1
+
+
 def test_composite_panel_has_no_range_join(spark, bars):
     text = plan(spark, composite_panel(bars, "short"))
     assert "NestedLoop" not in text and "Cartesian" not in text and "SinglePartition" not in text
