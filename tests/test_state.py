@@ -238,6 +238,36 @@ def test_record_of_single_and_several_segments_equals_the_plain_panel(spark):
     pd.testing.assert_frame_equal(got[rest].astype(str), want[rest].astype(str))
 
 
+@pytest.mark.parametrize("known", [None, GAPPED])
+def test_short_series_dealt_whole_equal_the_plain_history(spark, known):
+    """Series of one, just one, two and six segments, of two intervals; bars without a symbol or a time are left out."""
+    rows = sd.bars("a", sd.walk(230, 1)) + sd.bars("b", sd.walk(41, 2)) + sd.bars("e", sd.walk(40, 6)) + sd.bars("s", sd.walk(12, 4)) + sd.bars("a", sd.walk(60, 5), interval="60m")
+    nullable = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in BAR_SCHEMA)
+    df = spark.createDataFrame(rows + [(None, *rows[0][1:]), (*rows[0][:2], None, *rows[0][3:])], nullable)
+    want = in_order(full_history(df, segment_rows=40, block=16))
+    got = in_order(full_history(df, segment_rows=40, block=16, split=True, known=known))
+    assert len(got) == len(want) == len(rows)
+    columns = ["symbol", "interval", "ts", "pos", "n_bars", "close", *INDICATORS, *CONTEXT]
+    pd.testing.assert_frame_equal(got[columns], want[columns], rtol=1e-12, atol=1e-12)
+
+
+def test_short_series_are_exchanged_once(spark, bars):
+    """Between the bars and their record there is one exchange of them, for long series too; only the latter are dealt again."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        # of a table, and of trades: whether the interval is a column or the same for all, bars are made and dealt once
+        for given, scans in ((bars, 2), (fx.supplier_daily(spark, SF), 1), (fx.mixed_bars(spark, SF), 3)):
+            for df in (full_history(given, known=GAPPED), full_history(given, split=True)):
+                text = plan(spark, df)
+                made = [line for line in text.splitlines() if "REPARTITION_BY_COL" in line and "ReusedExchange" not in line]
+                assert len(made) == 1 and text.count("FileScan") == scans
+        only_short = plan(spark, full_history(bars, known=GAPPED).where("whole"))
+        # by bucket and by series for the list of long ones, and the bars
+        assert only_short.count("Exchange hashpartitioning") == 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_bars_and_panels_are_computed_once(spark, tmp_path):
     path = str(tmp_path / "bars")
     rows = sd.bars("a", sd.walk(60, 1)) + sd.bars("a", sd.walk(60, 2), interval="60m")
